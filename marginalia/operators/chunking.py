@@ -128,6 +128,24 @@ def _fold(paragraphs: pd.Series, initial: pd.Series) -> pd.Series:
     return pd.Series([one(u, s) for u, s in zip(paragraphs, initial)], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def near_duplicate_flags(paragraphs: pd.Series) -> pd.Series:
+    """For every paragraph of an array whether it closely repeats an earlier kept one."""
+    return paragraphs.map(lambda ps: None if ps is None else near_duplicates(
+        re.sub(r"\W+", " ", p.lower()).strip() for p in ps))
+
+
+def propagate_headings(paragraphs: DataFrame, order: str = "position", by: str = "doc_id") -> DataFrame:
+    """Body paragraphs with the nearest heading above them; headings are consumed.
+
+    For paragraphs that already are rows; a document is bounded, so its window is.
+    """
+    above = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    titled = paragraphs.withColumn("_title", tx.heading_text("text"))
+    return (titled.withColumn("section", F.last("_title", ignorenulls=True).over(above))
+            .filter(F.col("_title").isNull()).drop("_title"))
+
+
 def last_heading(paragraphs: Column) -> Column:
     titles = F.filter(F.transform(paragraphs, tx.heading_text), lambda t: t.isNotNull())
     return F.try_element_at(titles, F.lit(-1))
