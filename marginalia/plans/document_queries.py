@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import dates, identity as ident, numbers, text as tx
 from ..operators import chunking, cleaning, drafts, extraction, tables
 from ..operators.ordered import top_per_key
+from ..session import spread
 
 
 def table(spark, folder, name):
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def doc_hash_dedupe(spark, sf):
@@ -298,10 +299,14 @@ docs AS (SELECT doc_id, line AS t, len(w) AS nw FROM headed WHERE line <> '' AND
    AND NOT """ + _HEADING_SQL + r"""),
 sent AS (SELECT doc_id, i, s[i] AS t, """ + _WORDS.format("s[i]") + r""" AS n FROM
    (SELECT doc_id, """ + _SENTENCES.format("t") + r""" AS s FROM docs WHERE nw > 600), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i)),
-pack AS (SELECT doc_id, i, n AS used, 0 AS g FROM sent WHERE i = 1
-   UNION ALL SELECT s.doc_id, s.i, CASE WHEN p.used + s.n > 400 THEN s.n ELSE p.used + s.n END,
-     CASE WHEN p.used + s.n > 400 THEN p.g + 1 ELSE p.g END FROM pack p JOIN sent s ON s.doc_id = p.doc_id AND s.i = p.i + 1),
-pieces AS (SELECT p.doc_id, p.g, string_agg(s.t, ' ' ORDER BY p.i) AS t, sum(s.n) AS n FROM pack p JOIN sent s USING (doc_id, i) GROUP BY ALL
+cut AS (SELECT doc_id, i, 0 AS j, t, n, false AS hard FROM sent WHERE n <= 600
+   UNION ALL SELECT doc_id, i, j, array_to_string(w[j * 600 + 1 : j * 600 + 600], ' '), len(w[j * 600 + 1 : j * 600 + 600]), true FROM
+     (SELECT doc_id, i, regexp_extract_all(t, '\S+') AS w FROM sent WHERE n > 600), LATERAL (SELECT unnest(range(0, CAST(ceil(len(w) / 600.0) AS BIGINT))) AS j)),
+unit AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS i, t, n, hard FROM cut),
+pack AS (SELECT doc_id, i, n AS used, 0 AS g, hard FROM unit WHERE i = 1
+   UNION ALL SELECT s.doc_id, s.i, CASE WHEN p.hard OR s.hard OR p.used + s.n > 400 THEN s.n ELSE p.used + s.n END,
+     CASE WHEN p.hard OR s.hard OR p.used + s.n > 400 THEN p.g + 1 ELSE p.g END, s.hard FROM pack p JOIN unit s ON s.doc_id = p.doc_id AND s.i = p.i + 1),
+pieces AS (SELECT p.doc_id, p.g, string_agg(s.t, ' ' ORDER BY p.i) AS t, sum(s.n) AS n FROM pack p JOIN unit s USING (doc_id, i) GROUP BY ALL
    UNION ALL SELECT doc_id, 0, t, nw FROM docs WHERE nw <= 600),
 tail AS (SELECT *, max(g) OVER (PARTITION BY doc_id) AS last, lag(n) OVER (PARTITION BY doc_id ORDER BY g) AS before FROM pieces),
 merged AS (SELECT doc_id, CASE WHEN g = last AND g > 0 AND n < 30 AND before + n <= 600 THEN g - 1 ELSE g END AS g, g AS g0, t, n FROM tail),
@@ -396,7 +401,7 @@ QUERIES = {
         WHEN CAST(o_orderdate AS DATE) < date_trunc('month', l_shipdate) THEN 'before'
         WHEN CAST(o_orderdate AS DATE) > last_day(l_shipdate) THEN 'after' ELSE 'overlap' END AS outcome
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY ALL"""),
-    "number_extract": (number_extract, """SELECT o_orderkey, CAST(3 AS BIGINT) AS n_numbers, round(o_totalprice, 4) AS total,
+    "number_extract": (number_extract, """SELECT o_orderkey, CAST(4 AS BIGINT) AS n_numbers, round(o_totalprice, 4) AS total,
         round(o_custkey * 1000.0::DOUBLE, 4) AS units, 40.0::DOUBLE AS discount FROM orders"""),
     "query_sanitize": (query_sanitize, r"""WITH t AS (SELECT 'pages' AS origin, page_id AS key, 'ask user' || page_id || '@mail.example.com about "this" ' || url || ' ref 1234567 now' AS text FROM pages
         UNION ALL SELECT 'documents', doc_id, text FROM documents),

@@ -58,3 +58,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYT
     allowed = max(1, limit // max(1, row_bytes))
     seen = df.limit(allowed + 1).count()
     return F.broadcast(df) if seen <= allowed else df
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores on a scan that has fewer splits than cores; larger inputs pass unchanged.
+
+    One small file would otherwise run every following row-wise step in a single task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 2 <= cores else scan
