@@ -1,5 +1,5 @@
 """All registered queries: name -> (job, SQL or None)."""
 
-from . import document_queries, graph_queries
+from . import answer_queries, document_queries, graph_queries
 
-CATALOG = {**document_queries.QUERIES, **graph_queries.QUERIES}
+CATALOG = {**document_queries.QUERIES, **graph_queries.QUERIES, **answer_queries.QUERIES}

@@ -88,12 +88,27 @@ def subgraph_facts(spark, sf):
                          F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"))
     names = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.col("s_name").alias("name")).union(
         table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey"), F.concat(F.lit("Part "), "p_partkey")))
-    seeds = graph.seed_nodes(spark.createDataFrame([("supplier000000001",)], "name string"), names, key=graph.tx.fold_key)
-    reached = graph.hop_distances(seeds, edges, 1)
-    chosen = graph.subgraph_edges(reached, edges, 2)
-    facts = graph.subgraph_facts(chosen, names, ["l_orderkey", "l_linenumber", "edge_id"], 20)
-    return facts.select(F.col("fact_rank").cast("long").alias("fact_rank"), "subject", "relation", "object",
-                        F.col("hop").cast("long").alias("hop"), "n_edges")
+    wanted = spark.createDataFrame([(1, "supplier000000001")], "question_id int, name string")
+    seeds = graph.seed_nodes(wanted, names, key=graph.tx.fold_key, by=["question_id"])
+    facts = graph.distinct_facts(edges, names, ["l_orderkey", "l_linenumber", "edge_id"])
+    nearest = graph.nearest_facts(seeds, facts, 2, 20, "question_id")
+    return nearest.select(F.col("fact_rank").cast("long").alias("fact_rank"), "subject", "relation", "object",
+                          F.col("hop").cast("long").alias("hop"), "n_edges")
+
+
+def facts_per_part(spark, sf):
+    """Nearest facts for a question about every part."""
+    items = table(spark, sf, "lineitem")
+    edges = items.select(F.concat(F.lit("s"), "l_suppkey").alias("source_node_id"), F.concat(F.lit("p"), "l_partkey").alias("target_node_id"),
+                         F.lit("SUPPLIES").alias("relation_type"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    names = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node_id"), F.col("s_name").alias("name")).union(
+        table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey"), F.concat(F.lit("Part "), "p_partkey")))
+    asked = table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("part "), "p_partkey").alias("name"))
+    seeds = graph.seed_nodes(asked, names, by=["question_id"])
+    facts = graph.distinct_facts(edges, names, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    nearest = graph.nearest_facts(seeds, facts, 2, 5, "question_id")
+    return nearest.select("question_id", F.col("fact_rank").cast("long").alias("fact_rank"), "subject", "object",
+                          F.col("hop").cast("long").alias("hop"), "n_edges")
 
 
 def _event_chain(spark, sf):
@@ -258,6 +273,12 @@ QUERIES = {
         r AS (SELECT *, row_number() OVER (ORDER BY hop, first_edge) AS fact_rank FROM f)
         SELECT fact_rank, printf('Supplier#%09d', l_suppkey) AS subject, 'supplies' AS relation, 'Part ' || l_partkey AS object,
           CAST(hop AS BIGINT) AS hop, n_edges FROM r WHERE fact_rank <= 20"""),
+    "facts_per_part": (facts_per_part, """WITH e AS (SELECT l_suppkey AS s, l_partkey AS p, min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS f, count(*) AS n FROM lineitem GROUP BY ALL),
+        h AS (SELECT p AS question_id, s, p, f, n, 0 AS hop FROM e UNION ALL
+          SELECT a.p, b.s, b.p, b.f, b.n, 1 FROM e a JOIN e b ON a.s = b.s AND a.p <> b.p WHERE a.p IN (SELECT p FROM e GROUP BY p HAVING count(*) < 5)),
+        d AS (SELECT question_id, s, p, f, n, min(hop) AS hop FROM h GROUP BY ALL),
+        r AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY hop, f) AS fact_rank FROM d)
+        SELECT question_id, fact_rank, printf('Supplier#%09d', s) AS subject, 'Part ' || p AS object, CAST(hop AS BIGINT) AS hop, n AS n_edges FROM r WHERE fact_rank <= 5"""),
     "replacement_chain": (replacement_chain, "WITH " + _CHAIN_SQL + " SELECT event_id AS memory_id, end_status FROM w"),
     "active_status_filter": (active_status_filter, "WITH " + _CHAIN_SQL +
         " SELECT event_type, count(*) AS n_active FROM w WHERE end_status = 'active' GROUP BY 1"),
