@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from .. import config
 from ..functions import text as tx
+from ..functions.rows import spread_array
 
 PIECES = T.ArrayType(T.StructType([T.StructField("section", T.StringType()),
                                    T.StructField("text", T.StringType())]))
@@ -181,7 +182,7 @@ def chunk_pieces(docs: DataFrame, text: str = "text", section: str | None = None
 
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """``(doc_id, chunk_index, section, text)`` from cleaned ``(doc_id, text)``."""
-    flat = chunk_pieces(docs).select("doc_id", F.posexplode("pieces").alias("chunk_index", "_p"))
+    flat = spread_array(chunk_pieces(docs), ["doc_id"], "pieces", "_p", "chunk_index")
     return flat.select("doc_id", "chunk_index", F.col("_p.section").alias("section"),
                        F.col("_p.text").alias("text"))
 
@@ -203,6 +204,6 @@ def page_sections(pages: DataFrame) -> DataFrame:
 def chunk_pages(pages: DataFrame) -> DataFrame:
     """Chunks that stay on their page; only the heading carries over."""
     cut = chunk_pieces(page_start_sections(pages), section="section")
-    flat = cut.select("doc_id", "page", F.posexplode("pieces").alias("position", "_p"))
+    flat = spread_array(cut, ["doc_id", "page"], "pieces", "_p", "position")
     return flat.select("doc_id", "page", "position", F.col("_p.section").alias("section"),
                        F.col("_p.text").alias("text"))

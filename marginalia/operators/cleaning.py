@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config
 from ..functions import text as tx
+from ..functions.rows import spread_array
 
 
 def edge_positions(lines: Column) -> Column:
@@ -29,11 +30,9 @@ def repeated_edge_lines(pages: DataFrame, doc: str = "doc_id", text: str = "text
     ``repeated`` has fewer than eight elements whatever the document size.
     """
     lines = F.split(text, "\n")
-    edges = (pages.select(doc, lines.alias("_lines"),
-                          edge_positions(lines).alias("_edges"))
-             .select(doc, F.array_distinct(F.transform("_edges", lambda i: tx.line_key(F.get("_lines", i))))
-                     .alias("_keys"))
-             .select(doc, F.explode("_keys").alias("_key")))
+    staged = (pages.withColumn("_lines", lines).withColumn("_edges", edge_positions(F.col("_lines"))))
+    keys = F.array_distinct(F.transform("_edges", lambda i: tx.line_key(F.get("_lines", i))))
+    edges = spread_array(staged, [doc], keys, "_key")
     counted = edges.groupBy(doc, "_key").agg(F.count("*").alias("_seen"))
     totals = pages.groupBy(doc).agg(F.count("*").alias("n_pages"))
     frequent = (counted.join(totals, doc)

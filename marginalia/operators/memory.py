@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config
 from ..functions import identity as ident, text as tx
+from ..functions.rows import spread_array
 from .ordered import next_marked, running_max_before, top_per_key
 
 NOTE_ORDER = ("doc_id", "chunk_index")
@@ -93,14 +94,14 @@ def _best_overlaps(wanted, offered, left, right, within, order, limit):
         return df.filter(F.size("items") > _MAX_SUBSET_ITEMS)
 
     def per_item(a, b):
-        x = a.select(left, *within, F.explode("items").alias("_i"))
-        y = b.select(right, *within, *[c for c in order if c not in (right, *within)], F.explode("items").alias("_i"))
+        x = spread_array(a, [left, *within], "items", "_i")
+        y = spread_array(b, [right, *within, *order_only], "items", "_i")
         return x.join(y, [*within, "_i"]).groupBy(left, right, *order_only).agg(F.count("*").alias("shared"))
 
     order_only = [c for c in order if c != right]
-    postings = top_per_key(short(offered).select(right, *within, *order_only, F.explode(_subsets(F.col("items"))).alias("_set")),
+    postings = top_per_key(spread_array(short(offered), [right, *within, *order_only], _subsets(F.col("items")), "_set"),
                            [*within, "_set"], list(order), limit, "_at").drop("_at")
-    sets = short(wanted).select(left, *within, F.explode(_subsets(F.col("items"))).alias("_set"))
+    sets = spread_array(short(wanted), [left, *within], _subsets(F.col("items")), "_set")
     by_set = (sets.join(postings, [*within, "_set"])
               .withColumn("_n", F.size(F.split("_set", "\x1f")))
               .groupBy(left, right, *order_only).agg(F.max("_n").cast("long").alias("shared")))

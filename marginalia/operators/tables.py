@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import config
 from ..functions import text as tx
+from ..functions.rows import spread_array
 
 TABLE = "struct<rows:array<array<string>>,caption:string,page:int,section:string>"
 _NUMERIC_CELL = r"(?U)^[\s\-+$€£%.,0-9]+\z"
@@ -141,8 +142,8 @@ def table_pieces(tables: DataFrame) -> DataFrame:
                .withColumn("_groups", group_lines(F.col("_lines"))))
     label = F.when(F.coalesce(F.col("caption"), F.lit("")) == "", "Table").when(
         tx.caption("caption").isNotNull(), F.col("caption")).otherwise(F.concat(F.lit("Table: "), F.col("caption")))
-    flat = grouped.select(*others, "is_numeric", "_prefix", label.alias("_label"),
-                          F.size("_groups").alias("parts"), F.posexplode("_groups").alias("_at", "_lines"))
+    flat = spread_array(grouped, [*others, "is_numeric", "_prefix", label.alias("_label"),
+                                  F.size("_groups").alias("parts")], "_groups", "_lines", "_at")
     title = F.when(F.col("parts") > 1, F.concat(
         F.col("_label"), F.format_string(" (part %d of %d)", F.col("_at") + 1, F.col("parts")))).otherwise(
             F.col("_label"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import text as tx
+from ..functions.rows import spread_array
 from ..operators import drafts as dr, evaluation, evidence as ev, search
 from ..operators.ordered import top_per_key
 from . import ask
@@ -16,7 +17,7 @@ from .document_queries import table
 
 def _centroids(vectors, *by):
     """Mean vector per group, summed per position before any shuffle of size."""
-    flat = vectors.select(*by, F.posexplode("embedding").alias("at", "x"))
+    flat = spread_array(vectors, by, "embedding", "x", "at")
     means = flat.groupBy(*by, "at").agg(F.round(F.avg(F.col("x").cast("double")), 9).alias("m"))
     return means.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "m"))), lambda p: p["m"]).alias("embedding"))
 
@@ -85,8 +86,7 @@ def hybrid_fusion(spark, sf):
     """Documents that copy a run of the question stand in for graph passages."""
     docs = table(spark, sf, "documents")
     asked = _asked(spark, sf)
-    runs = asked.select("question_id", F.explode(tx.ngrams(tx.tokens("text"))).alias("run"))
-    own = docs.select("doc_id", F.explode(tx.ngrams(tx.tokens("text"))).alias("run"))
+    runs, own = ev.word_runs(asked, ["question_id"]), ev.word_runs(docs, ["doc_id"])
     copied = own.join(runs, "run").select("question_id", "doc_id").distinct()
     graph_side = top_per_key(copied, "question_id", "doc_id", 3, "place").select(
         "question_id", F.col("doc_id").alias("note_id"), "doc_id", F.lit(1.0).alias("score"), "place")
@@ -154,7 +154,7 @@ def _drafts(spark, sf):
 
 
 def draft_issues(spark, sf):
-    found = dr.with_issues(_drafts(spark, sf)).select("o_orderkey", F.explode("issues").alias("i"))
+    found = spread_array(dr.with_issues(_drafts(spark, sf)), ["o_orderkey"], "issues", "i")
     return found.groupBy("o_orderkey", F.col("i.code").alias("code"), F.col("i.severity").alias("severity")).agg(F.count("*").alias("n"))
 
 
@@ -228,11 +228,11 @@ def answer_customer_managers(spark, sf):
     notes = extraction.rule_notes(_managed(spark, sf))
     held = notes.select("note_id", "doc_id", "chunk_index", "content", F.lit(None).cast("string").alias("section"),
                         "entities", "relations").withColumn("memory_id", memory.ident.memory_id("note_id"))
-    mentions = held.select("doc_id", "chunk_index", "note_id", F.explode("entities").alias("e")).select(
+    mentions = spread_array(held, ["doc_id", "chunk_index", "note_id"], "entities", "e").select(
         "doc_id", "chunk_index", "note_id", F.col("e.name").alias("name"), F.col("e.type").alias("type"))
     resolved = memory.resolve_entities(mentions)
     nodes = memory.nodes_from_mentions(resolved).select("node_id", "name")
-    ends = held.select("memory_id", "note_id", F.explode("relations").alias("r"))
+    ends = spread_array(held, ["memory_id", "note_id"], "relations", "r")
     edges = ends.select(
         memory.ident.node_id(F.lit("Product"), tx.name_key("r.subject")).alias("source_node_id"),
         memory.ident.node_id(F.lit("Person"), tx.name_key("r.object")).alias("target_node_id"),
@@ -271,7 +271,7 @@ _LEAK = r"""qt AS (SELECT item_id AS question_id, regexp_extract_all(lower(text)
   dt AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS t FROM documents),
   qg AS (SELECT question_id, unnest(""" + _GRAMS.format("t") + r""") AS g FROM qt), dg AS (SELECT doc_id, unnest(""" + _GRAMS.format("t") + r""") AS g FROM dt),
   lk AS (SELECT DISTINCT question_id, doc_id FROM qg JOIN dg USING (g))"""
-_MEAN = "x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS at FROM embeddings)"
+_MEAN = "x AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS ix FROM embeddings)"
 _BUNDLE = _KW + """, b AS (SELECT question_id, rank, CASE WHEN doc_id % 10 = 0 THEN 'graph_fact' ELSE 'chunk' END AS kind, round(score, 9) AS score,
    rank % 3 = 0 AS cited, least(length(text), 1500) AS cost FROM k JOIN documents USING (doc_id) WHERE rank <= 100)"""
 _EXPECTED = """x(v, code, severity, n, strict) AS (VALUES
@@ -282,13 +282,13 @@ _EXPECTED = """x(v, code, severity, n, strict) AS (VALUES
   (10, 'unsupported_claim', 'error', 1), (10, 'unknown_inline_citation', 'error', 1), (10, 'state_inconsistent', 'error', 1))""".replace(", strict)", ")")
 
 QUERIES = {
-    "cosine_topk": (cosine_topk, "WITH " + _MEAN + """, c AS (SELECT list(m ORDER BY at) AS m FROM (SELECT at, round(avg(x::DOUBLE), 9) AS m FROM x GROUP BY at)),
+    "cosine_topk": (cosine_topk, "WITH " + _MEAN + """, c AS (SELECT list(m ORDER BY ix) AS m FROM (SELECT ix, round(avg(x::DOUBLE), 9) AS m FROM x GROUP BY ix)),
         s AS (SELECT vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], m))), 6) AS score FROM embeddings, c),
         r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s) SELECT vec_id, score, rank FROM r WHERE rank <= 10"""),
-    "cosine_topk_per_label": (cosine_topk_per_label, "WITH " + _MEAN + """, c AS (SELECT label, list(m ORDER BY at) AS m FROM (SELECT label, at, round(avg(x::DOUBLE), 9) AS m FROM x GROUP BY ALL) GROUP BY label),
+    "cosine_topk_per_label": (cosine_topk_per_label, "WITH " + _MEAN + """, c AS (SELECT label, list(m ORDER BY ix) AS m FROM (SELECT label, ix, round(avg(x::DOUBLE), 9) AS m FROM x GROUP BY ALL) GROUP BY label),
         s AS (SELECT c.label, vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(embedding::DOUBLE[], m))), 6) AS score FROM embeddings, c),
         r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM s) SELECT label, vec_id, score, rank FROM r WHERE rank <= 10"""),
-    "hit_filter": (hit_filter, "WITH " + _MEAN + """, c AS (SELECT label, list(m ORDER BY at) AS m FROM (SELECT label, at, round(avg(x::DOUBLE), 9) AS m FROM x GROUP BY ALL) GROUP BY label),
+    "hit_filter": (hit_filter, "WITH " + _MEAN + """, c AS (SELECT label, list(m ORDER BY ix) AS m FROM (SELECT label, ix, round(avg(x::DOUBLE), 9) AS m FROM x GROUP BY ALL) GROUP BY label),
         s AS (SELECT CAST(vec_id // 3 AS VARCHAR) AS note_id, vec_id, greatest(0.0, least(1.0, round(list_cosine_similarity(embedding::DOUBLE[], m), 6))) AS score
           FROM embeddings JOIN c USING (label) WHERE vec_id % 7 <> 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY note_id ORDER BY score DESC, vec_id) AS rn FROM s WHERE score >= 0.25)

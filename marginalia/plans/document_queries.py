@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, identity as ident, numbers, text as tx
+from ..functions.rows import spread_array
 from ..operators import chunking, cleaning, drafts, extraction, tables
 from ..operators.ordered import top_per_key
 from ..session import spread
@@ -65,7 +66,7 @@ _WORDS = r"len(regexp_extract_all({0}, '\S+'))"
 
 def junk_filter(spark, sf):
     lines = table(spark, sf, "documents").select(
-        F.lit("documents").alias("origin"), F.col("doc_id").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
+        F.lit("documents").alias("origin"), F.col("doc_id").alias("key"), F.explode_outer(F.split("text", "\n")).alias("line"))
     items = table(spark, sf, "lineitem").select(
         F.lit("lineitem").alias("origin"), F.col("l_orderkey").alias("key"),
         F.concat(F.expr("repeat(l_returnflag, l_linenumber)"), F.lit(" "), F.col("l_orderkey").cast("string")).alias("line"))
@@ -77,7 +78,7 @@ def heading_sections(spark, sf):
     lines = F.split("text", "\n")
     rendered = F.flatten(F.transform(lines, lambda line, i: F.when(i % 4 == 0, F.array(
         F.concat(F.lit("# Part "), (i / 4).cast("int").cast("string")), line)).otherwise(F.array(line))))
-    paragraphs = table(spark, sf, "documents").select("doc_id", F.posexplode(rendered).alias("position", "text"))
+    paragraphs = spread_array(table(spark, sf, "documents"), ["doc_id"], rendered, "text", "position")
     return (chunking.propagate_headings(paragraphs).groupBy("doc_id", "section")
             .agg(F.count("*").alias("n_paragraphs"), F.sum(F.length("text")).alias("n_chars")))
 
@@ -143,9 +144,8 @@ def _managed(spark, sf):
 def relation_extract(spark, sf):
     notes = extraction.rule_notes(_managed(spark, sf))
     facts = notes.withColumn("error", F.coalesce(extraction.note_error(), F.lit("")))
-    return facts.select("doc_id", "note_id", "error", F.array_join(F.transform(
-        "entities", lambda e: F.concat_ws(":", e["name"], e["type"])), "|").alias("entities"),
-        F.explode("relations").alias("r")).select(
+    listed = F.array_join(F.transform("entities", lambda e: F.concat_ws(":", e["name"], e["type"])), "|")
+    return spread_array(facts, ["doc_id", "note_id", "error", listed.alias("entities")], "relations", "r").select(
             "doc_id", "note_id", "error", "entities", F.col("r.subject").alias("subject"),
             F.col("r.relation").alias("relation"), F.col("r.object").alias("object"), F.col("r.evidence_quote").alias("quote"))
 
