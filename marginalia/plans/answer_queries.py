@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions.rows import spread_array
 from ..operators import drafts as dr, evaluation, evidence as ev, search
 from ..operators.ordered import top_per_key
+from ..session import cut_lineage
 from . import ask
 from .document_queries import table
 
@@ -225,19 +226,21 @@ def answer_customer_managers(spark, sf):
     """Graph and search together: who manages each customer."""
     from ..operators import extraction, memory
     from .document_queries import _managed
-    notes = extraction.rule_notes(_managed(spark, sf))
+    # the ingest job writes these tables; here their lineage is cut at the same places
+    notes = cut_lineage(extraction.rule_notes(_managed(spark, sf)))
     held = notes.select("note_id", "doc_id", "chunk_index", "content", F.lit(None).cast("string").alias("section"),
                         "entities", "relations").withColumn("memory_id", memory.ident.memory_id("note_id"))
     mentions = spread_array(held, ["doc_id", "chunk_index", "note_id"], "entities", "e").select(
         "doc_id", "chunk_index", "note_id", F.col("e.name").alias("name"), F.col("e.type").alias("type"))
     resolved = memory.resolve_entities(mentions)
-    nodes = memory.nodes_from_mentions(resolved).select("node_id", "name")
+    nodes = cut_lineage(memory.nodes_from_mentions(resolved).select("node_id", "name"))
     ends = spread_array(held, ["memory_id", "note_id"], "relations", "r")
     edges = ends.select(
         memory.ident.node_id(F.lit("Product"), tx.name_key("r.subject")).alias("source_node_id"),
         memory.ident.node_id(F.lit("Person"), tx.name_key("r.object")).alias("target_node_id"),
         F.upper("r.relation").alias("relation_type"), "memory_id", "note_id").withColumn(
             "edge_id", memory.ident.edge_id("source_node_id", F.lower("relation_type"), "target_node_id", "memory_id"))
+    edges = cut_lineage(edges)
     memories = held.select("memory_id", F.lit("active").alias("status"), F.lit(None).cast("string").alias("replacement_id"))
     tables = ask.Memory(notes=held, memories=memories, nodes=nodes, surface_forms=nodes, edges=edges.drop("note_id"),
                         edge_sources=edges.select("edge_id", "note_id"))

@@ -26,6 +26,7 @@ def build_session(app: str = "marginalia", master: str | None = None, **conf) ->
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     for key, value in {**base, **conf}.items():
         builder = builder.config(key, value)
