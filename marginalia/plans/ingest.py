@@ -71,7 +71,8 @@ def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, Data
     order = list(memory.NOTE_ORDER)
     mentions = spread_array(fresh, ["note_id", *order], "entities", "e").select(
         "note_id", *order, F.col("e.name").alias("name"), F.col("e.type").alias("type"))
-    resolved = memory.resolve_entities(mentions, known=current["surface_forms"])
+    # the outcome per mention, fact and note is small and feeds every table: fix it once
+    resolved = cut_lineage(memory.resolve_entities(mentions, known=current["surface_forms"]))
     named = resolved.select("note_id", "name", "node_id")
     made = memory.nodes_from_mentions(resolved.filter("is_new")).select("node_id", "name", "entity_type")
     forms = resolved.select("node_id", "name", F.col("type").alias("entity_type")).distinct()
@@ -79,13 +80,16 @@ def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, Data
         "note_id", F.col("r.subject").alias("subject"), F.col("r.relation").alias("relation"), F.col("r.object").alias("object"))
     for role, column in (("subject", "source_node_id"), ("object", "target_node_id")):
         facts = facts.join(named.select("note_id", F.col("name").alias(role), F.col("node_id").alias(column)), ["note_id", role])
+    facts = cut_lineage(facts)
     triple = F.concat_ws("\x1f", "source_node_id", "relation", "target_node_id")
     signed = facts.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set(triple)), "\x1e").alias("fact_signature"))
     ready = fresh.join(signed, "note_id", "left").withColumn("fact_signature", F.coalesce("fact_signature", F.lit(""))).withColumn(
         "event_time", memory.event_time(F.col("relations")))
     held = current["memories"].filter("status = 'active'").select("memory_id", "content", "fact_signature")
-    merged = memory.merge_identical(ready, order, held)
-    owner = merged.select("note_id", "memory_id")
+    outcome = cut_lineage(memory.merge_identical(ready, order, held).select(
+        "note_id", "memory_id", "action", "reason", "fact_signature", "event_time"))
+    merged = fresh.join(outcome, "note_id")
+    owner = outcome.select("note_id", "memory_id")
     born = merged.filter("action = 'add'").select("memory_id", "content", "context", "fact_signature", "event_time",
                                                   F.lit("active").alias("status"), F.lit(None).cast("string").alias("replacement_id"))
     linked = facts.join(owner, "note_id")
@@ -99,7 +103,7 @@ def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, Data
         "memory_entities": named.join(owner, "note_id").select("memory_id", "node_id").distinct(),
         "nodes": made, "surface_forms": forms, "node_sources": named.select("node_id", "note_id").distinct(),
         "edges": edge_rows.drop("note_id").distinct(), "edge_sources": edge_rows.select("edge_id", "note_id").distinct(),
-        "events": merged.select("note_id", "memory_id", "action", "reason"),
+        "events": outcome.select("note_id", "memory_id", "action", "reason"),
     }
     out = dict(current)
     for name, rows in added.items():

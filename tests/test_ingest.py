@@ -66,9 +66,6 @@ def test_ingest_then_ask(spark, folder, tmp_path):
     assert beacon.count() == 1
     assert t["memory_sources"].join(beacon, "memory_id").count() == 2
     assert t["edges"].count() == 2 and t["edge_sources"].count() == 3
-    # a second run changes nothing
-    assert {r.status for r in ing.ingest(spark, paths, store).collect()} == {"skipped_duplicate", "failed"}
-    assert store.version() == 1
     # outbox
     sent = []
     counts = ing.flush_outbox(store, lambda records: sent.extend(records.collect())).first()
@@ -80,15 +77,18 @@ def test_ingest_then_ask(spark, folder, tmp_path):
     assert got[1].state == "GRAPH_SUPPORTED" and "Atlas is managed by Mara." in got[1].answer_text and got[1].cited[0].evidence_id == "E1"
     assert got[2].answer_text == NO_INFO_TEXT and got[2].insufficient_evidence and got[2].retries_used == 2
     assert "Gold" in got[3].answer_text
-    # replacement
+    # unchanged files are skipped, a changed one needs permission
+    version = store.version()
     (folder / "atlas.txt").write_text("Atlas is managed by Nele. " + FILLER)
-    one = str(folder / "atlas.txt")
-    assert ing.ingest(spark, one, store).first().error.startswith("A different file")
-    assert ing.ingest(spark, one, store, replace=True).first().status == "replaced"
+    (folder / "copy.txt").write_text("   \n")
+    again = {r.doc_id: r for r in ing.ingest(spark, paths, store).collect()}
+    assert again["letter"].status == "skipped_duplicate" and again["atlas"].status == "failed"
+    assert again["atlas"].error.startswith("A different file") and store.version() == version
+    # replacement: all or nothing per document
+    last = {r.doc_id: r for r in ing.ingest(spark, [str(folder / "atlas.txt"), str(folder / "copy.txt")], store, replace=True).collect()}
+    assert last["atlas"].status == "replaced" and last["copy"].error.startswith("No readable text")
     names = {r.name for r in store.tables()["nodes"].collect()}
-    assert "Nele" in names and "Mara" not in names and "Atlas" in names
-    (folder / "atlas.txt").write_text("   \n")
-    assert ing.ingest(spark, one, store, replace=True).first().error.startswith("No readable text")
+    assert {"Nele", "Atlas", "Beacon", "Ivo"} <= names and "Mara" not in names
     with pytest.raises(StoreError):
         store.commit(store.tables(), base=1)
 
