@@ -186,10 +186,9 @@ def blocked_updates(spark, sf):
     """A later order proposes to replace the customer's earlier one."""
     orders = table(spark, sf, "orders")
     day = F.col("o_orderdate").cast("timestamp")
-    relation = F.when(F.col("o_orderkey") % 5 == 0, "mentions").otherwise("managed_by")
     target = F.when(F.col("o_orderpriority") != "5-LOW", day - F.make_dt_interval(F.col("o_custkey") % 3 - 1))
     action = F.element_at(F.array(*map(F.lit, ("update", "merge", "retire"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    reason = memory.blocked_reason(action, F.array(F.struct(relation.alias("relation"))), day, F.array(target), F.array(target),
+    reason = memory.blocked_reason(action, F.lit(True), F.col("o_orderkey") % 5 != 0, day > target, day > target,
                                    F.col("o_orderstatus") != "F", F.col("o_orderstatus") == "O", F.lit(True))
     return orders.select("o_orderkey", F.coalesce(reason, F.lit("")).alias("reason"))
 
