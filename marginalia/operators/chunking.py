@@ -33,13 +33,13 @@ def near_duplicates(texts) -> list[bool]:
     """
     limit = config.DUPLICATE_SIMILARITY
     drop, seen, kept = [], set(), []
-    lengths, counts = np.empty(0, int), np.empty((0, 64), np.int32)
+    lengths, counts = np.empty(0, int), np.empty((0, 256), np.int32)
     for text in texts:
         if text in seen:
             drop.append(True)
             continue
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % 64
-        profile = np.bincount(codes, minlength=64).astype(np.int32)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % 256
+        profile = np.bincount(codes, minlength=256).astype(np.int32)
         size = len(text)
         total = np.maximum(lengths + size, 1)
         close = np.flatnonzero(2 * np.minimum(lengths, size) / total >= limit)

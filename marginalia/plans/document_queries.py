@@ -14,8 +14,13 @@ from ..operators.ordered import top_per_key
 from ..session import spread
 
 
+#: Tables whose rows feed costly row-wise work before any shuffle.
+_ROW_WORK = ("documents", "conversations", "pages", "orders")
+
+
 def table(spark, folder, name):
-    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+    scan = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(scan) if name in _ROW_WORK else scan
 
 
 def doc_hash_dedupe(spark, sf):

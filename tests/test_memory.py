@@ -48,7 +48,7 @@ def test_guards(spark, world):
                        ("other predicate", fact("atlas", "likes", "c"), at(9), "update", ["m2"]),
                        ("conflict", new_boss, at(9), "retire", ["m2"]), ("unknown", new_boss, at(9), "update", ["m9"]),
                        ("inactive", new_boss, at(9), "update", ["m4"]), ("no target", new_boss, at(9), "merge", []),
-                       ("keep", new_boss, at(9), "retain", ["m1"]), ("claimed", new_boss, at(9), "update", ["m1"]), ("odd", "", None, "erase", []))
+                       ("keep", new_boss, at(9), "retain", ["m2"]), ("claimed", new_boss, at(9), "update", ["m1"]), ("odd", "", None, "erase", []))
     got = {r.note_id: (r.action, r.reason) for r in decided.collect()}
     assert got["n0"] == ("update", "model says so")
     assert got["n1"] == ("add", "Update blocked: explicit later event time required")
