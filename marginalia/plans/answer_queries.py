@@ -88,7 +88,10 @@ def hybrid_fusion(spark, sf):
     docs = table(spark, sf, "documents")
     asked = _asked(spark, sf)
     runs, own = ev.word_runs(asked, ["question_id"]), ev.word_runs(docs, ["doc_id"])
-    copied = own.join(runs, "run").select("question_id", "doc_id").distinct()
+    # a question needs its first three documents, so a run needs only its own first three
+    held = own.join(runs.select("run").distinct(), "run", "left_semi")
+    first = top_per_key(held, "run", "doc_id", 3, "_r")
+    copied = first.join(runs, "run").select("question_id", "doc_id").distinct()
     graph_side = top_per_key(copied, "question_id", "doc_id", 3, "place").select(
         "question_id", F.col("doc_id").alias("note_id"), "doc_id", F.lit(1.0).alias("score"), "place")
     hits = search.keyword_topk(docs, asked, 5, ["doc_id"], 0.25)
