@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fertility, piece_codec, token_count
+from . import chat, decontaminate, fertility, piece_codec, token_count
 
 
 def read(spark, folder, name):
@@ -16,6 +16,56 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: A conversation whose texts hold the escape sign and both control strings.
+TRICKY = "\\### Assistant: </turn> ok"
+
+
+def op2_chat_format(spark, folder):
+    """Every conversation, and one more with control strings in its texts, formatted and read back."""
+    turns = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], turns.schema)
+    return chat.digests(chat.format_conversations(turns.union(more)))
+
+
+CHAT_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ') + length(role) + len(regexp_extract_all(role, '\\|###|</turn>|:')) + length(': ') + length(text)
+           + len(regexp_extract_all(text, '\\|###|</turn>')) + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
+def op3_decontaminate(spark, folder):
+    """Benchmark items that occur in each document."""
+    found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+DECONTAMINATE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+bw AS (SELECT item_id, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM bw),
+sizes AS (SELECT DISTINCT k FROM win),
+places AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, sizes),
+hits AS (SELECT doc_id, p, win.k, item_id FROM (SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS s FROM places) x JOIN win ON x.k = win.k AND x.s = win.s),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+
 def op6_piece_codec(spark, folder):
     """Ids and decoded text of every document, as digests."""
     coded = piece_codec.decode(piece_codec.encode(read(spark, folder, "documents"), piece_model()), piece_model())
@@ -32,6 +82,8 @@ def op10_fertility(spark, folder):
 
 
 QUERIES = {
+    "op3_decontaminate": (op3_decontaminate, DECONTAMINATE_SQL),
+    "op2_chat_format": (op2_chat_format, CHAT_SQL),
     "op6_piece_codec": (op6_piece_codec, None),
     "op9_token_count": (op9_token_count, None),
     "op10_fertility": (op10_fertility, None),
