@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, piece_codec, token_count
+from . import chat, decontaminate, fertility, odd_minhash, piece_codec, token_count
 
 
 def read(spark, folder, name):
@@ -73,6 +73,25 @@ def op6_piece_codec(spark, folder):
                         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op8_near_dedup(spark, folder):
+    """Components of documents with four-word shingle sets at 0.8 or more."""
+    return odd_minhash.near_duplicates(read(spark, folder, "documents"), odd_minhash.Settings(width=4))
+
+
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+             FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a),
+least AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+
 def op9_token_count(spark, folder):
     return token_count.count_tokens(read(spark, folder, "documents"), piece_model())
 
@@ -85,6 +104,7 @@ QUERIES = {
     "op3_decontaminate": (op3_decontaminate, DECONTAMINATE_SQL),
     "op2_chat_format": (op2_chat_format, CHAT_SQL),
     "op6_piece_codec": (op6_piece_codec, None),
+    "op8_near_dedup": (op8_near_dedup, NEAR_DEDUP_SQL),
     "op9_token_count": (op9_token_count, None),
     "op10_fertility": (op10_fertility, None),
 }
