@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, odd_minhash, piece_codec, token_count
+from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, piece_codec, token_count
 
 
 def read(spark, folder, name):
@@ -66,6 +66,11 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
+def op5_lm_score(spark, folder):
+    """Every document under a language model of the documents that are not held out."""
+    return kneser_ney.perplexity(read(spark, folder, "documents"))
+
+
 def op6_piece_codec(spark, folder):
     """Ids and decoded text of every document, as digests."""
     coded = piece_codec.decode(piece_codec.encode(read(spark, folder, "documents"), piece_model()), piece_model())
@@ -103,6 +108,7 @@ def op10_fertility(spark, folder):
 QUERIES = {
     "op3_decontaminate": (op3_decontaminate, DECONTAMINATE_SQL),
     "op2_chat_format": (op2_chat_format, CHAT_SQL),
+    "op5_lm_score": (op5_lm_score, None),
     "op6_piece_codec": (op6_piece_codec, None),
     "op8_near_dedup": (op8_near_dedup, NEAR_DEDUP_SQL),
     "op9_token_count": (op9_token_count, None),
