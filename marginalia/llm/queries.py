@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, piece_codec, token_count
+from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, piece_codec, token_count, toxicity
 
 
 def read(spark, folder, name):
@@ -78,6 +78,10 @@ def op6_piece_codec(spark, folder):
                         F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op7_toxicity(spark, folder):
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op8_near_dedup(spark, folder):
     """Components of documents with four-word shingle sets at 0.8 or more."""
     return odd_minhash.near_duplicates(read(spark, folder, "documents"), odd_minhash.Settings(width=4))
@@ -110,6 +114,7 @@ QUERIES = {
     "op2_chat_format": (op2_chat_format, CHAT_SQL),
     "op5_lm_score": (op5_lm_score, None),
     "op6_piece_codec": (op6_piece_codec, None),
+    "op7_toxicity": (op7_toxicity, None),
     "op8_near_dedup": (op8_near_dedup, NEAR_DEDUP_SQL),
     "op9_token_count": (op9_token_count, None),
     "op10_fertility": (op10_fertility, None),
