@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, piece_codec, token_count, toxicity
+from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, piece_codec, site_quality, token_count, toxicity
 
 
 def read(spark, folder, name):
@@ -66,6 +66,11 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
+def op4_site_quality(spark, folder):
+    """Documents by their own quality and that of their source, and of their language within it."""
+    return site_quality.site_quality(read(spark, folder, "documents"), read(spark, folder, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op5_lm_score(spark, folder):
     """Every document under a language model of the documents that are not held out."""
     return kneser_ney.perplexity(read(spark, folder, "documents"))
@@ -112,6 +117,7 @@ def op10_fertility(spark, folder):
 QUERIES = {
     "op3_decontaminate": (op3_decontaminate, DECONTAMINATE_SQL),
     "op2_chat_format": (op2_chat_format, CHAT_SQL),
+    "op4_site_quality": (op4_site_quality, None),
     "op5_lm_score": (op5_lm_score, None),
     "op6_piece_codec": (op6_piece_codec, None),
     "op7_toxicity": (op7_toxicity, None),
