@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, piece_codec, site_quality, token_count, toxicity
+from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, passages, piece_codec, site_quality, token_count, toxicity
 
 
 def read(spark, folder, name):
@@ -16,6 +16,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_substring_dedup(spark, folder):
+    """Passages of fifty words or more that documents share with earlier ones."""
+    return passages.repeated_passages(read(spark, folder, "documents"))
+
+
 #: A conversation whose texts hold the escape sign and both control strings.
 TRICKY = "\\### Assistant: </turn> ok"
 
@@ -115,6 +120,7 @@ def op10_fertility(spark, folder):
 
 
 QUERIES = {
+    "op1_substring_dedup": (op1_substring_dedup, None),
     "op3_decontaminate": (op3_decontaminate, DECONTAMINATE_SQL),
     "op2_chat_format": (op2_chat_format, CHAT_SQL),
     "op4_site_quality": (op4_site_quality, None),
