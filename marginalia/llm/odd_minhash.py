@@ -177,6 +177,13 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     return labelled.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def keep_first(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The input rows, all columns as they are, without those of documents that are near duplicates of one with a smaller
+    id.  Rows of one doc_id stay or go together; rows without an id, and empty texts, stay."""
+    gone = cut_lineage(near_duplicates(docs, settings, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+
+
 def links_between(chosen: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
     """Confirmed links among representatives, enough of them that every linked pair is in one component."""
     spots = chosen.select("doc_id", F.explode("bands").alias("band"))
