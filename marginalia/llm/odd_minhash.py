@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import components, map_texts, mixed, shingle_hashes, text_bytes, word_hashes
+from .common import components, fresh, map_texts, mixed, shingle_hashes, text_bytes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -180,8 +180,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
 def keep_first(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The input rows, all columns as they are, without those of documents that are near duplicates of one with a smaller
     id.  Rows of one doc_id stay or go together; rows without an id, and empty texts, stay."""
-    gone = cut_lineage(near_duplicates(docs, settings, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    name = fresh("gone", docs)
+    gone = cut_lineage(near_duplicates(docs, settings, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(name), "left_anti")
 
 
 def links_between(chosen: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
