@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import components, fresh, map_texts, mixed, shingle_hashes, text_bytes, word_hashes
+from .common import components, fresh, map_texts, mixed, shingle_hashes, slices, text_bytes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -119,8 +119,6 @@ def near_enough(settings: Settings, a: str = "a", b: str = "b") -> Column:
 
 def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
     """Those pairs (a, b) whose full shingle sets reach the similarity.  ``texts`` has (doc_id, text)."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = cut_lineage(texts.join(needed, "doc_id", "left_semi"))
     both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"))
 
@@ -155,10 +153,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), doc_id: st
     document, whose links are those of all its texts.  A row without an id is in no component (component_id null) and kept.
     Other columns are not read.  An empty table gives an empty one.
 
-    Equal sets meet in one combining aggregate and go on as one representative.  In every bucket the smallest member is
-    compared with the others; each document first with the leader it shares most bands with, which settles groups of
-    copies of any size in one comparison per document.  Then only members of a bucket that are not yet in one component
-    are compared.  No pair in a bucket is left out, none within a settled group is made.
+    Equal sets meet in one combining aggregate and go on as one representative.  Every bucket has a leader; each document is
+    compared with the leader it shares most bands with, which settles groups of copies of any size in one comparison per
+    document.  Then only members of a bucket that are not yet in one component are compared, without those that have too few
+    shingles in common with anything.  No pair in a bucket that could be a link is left out, none within a settled group is made.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = cut_lineage(signatures(rows, settings))
@@ -188,23 +186,53 @@ def keep_first(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "
 def links_between(chosen: DataFrame, rows: DataFrame, settings: Settings) -> DataFrame:
     """Confirmed links among representatives, enough of them that every linked pair is in one component."""
     spots = chosen.select("doc_id", F.explode("bands").alias("band"))
-    leaders = spots.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    near = cut_lineage(spots.join(leaders, "band").select("doc_id", "band", "leader"))
+    sizes = spots.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
+    near = cut_lineage(spots.join(sizes, "band"))
+    texts = cut_lineage(rows.join(near.select("doc_id").distinct(), "doc_id", "left_semi"))
+    # The leader of a bucket is the member that stands in the fullest buckets: in a group of copies, what they were made from.
+    weights = near.groupBy("doc_id").agg(F.sum(F.log2("size")).alias("weight"))
+    weighed = near.join(weights, "doc_id").select("band", "doc_id", "weight")
+    leaders = weighed.groupBy("band").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("least"))).alias("top")).select("band", (-F.col("top.least")).alias("leader"))
+    led = near.select("doc_id", "band").join(leaders, "band")
     # First: each document with the leader that it shares most bands with.
-    shared = near.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("bands"))
+    shared = led.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("bands"))
     best = shared.groupBy("doc_id").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
-    first = cut_lineage(confirmed(with_sketches(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), chosen, settings), rows, settings))
+    first = cut_lineage(confirmed(with_sketches(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), chosen, settings), texts, settings))
     label = components(first)
-    # Then: members of one bucket in different components.
-    placed = near.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # Then: members of one bucket in different components, as far as they have enough shingles in common with anything.
+    placed = near.select("doc_id", "band").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed_up = (placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("band"))
-    unsettled = cut_lineage(placed.join(mixed_up, "band").select("band", "doc_id", "component")
-                            .join(chosen.select("doc_id", "n", "sketch"), "doc_id"))
-    side = lambda x: unsettled.select("band", F.col("doc_id").alias(x), F.col("component").alias(f"component_{x}"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
-    pairs = (side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & near_enough(settings))
+    unsettled = cut_lineage(placed.join(mixed_up, "band").select("band", "doc_id", "component"))
+    asked = unsettled.select("doc_id").distinct()
+    alone = unshared(texts.join(asked, "doc_id", "left_semi"), settings.width)
+    open_docs = cut_lineage(asked.join(chosen.select("doc_id", "n", "sketch"), "doc_id").join(alone, "doc_id", "left")
+                            .withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").filter(100 * F.col("common") >= settings.percent * F.col("n")))
+    left = unsettled.join(open_docs, "doc_id")
+    side = lambda x: left.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "sketch", "common")), F.col("doc_id").alias(x))
+    enough = (100 + settings.percent) * F.least("common_a", "common_b") >= settings.percent * (F.col("n_a") + F.col("n_b"))
+    pairs = (side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & enough & near_enough(settings))
              .select("a", "b").distinct())
-    second = confirmed(cut_lineage(pairs), rows, settings)
-    return first.union(second)
+    return first.union(confirmed(cut_lineage(pairs), texts, settings))
+
+
+def unshared(texts: DataFrame, width: int) -> DataFrame:
+    """(doc_id, alone): how many shingles of a document stand in none of the others.
+
+    Two documents have at most those of the smaller one's shingles in common that are not alone, which rules out what
+    shares no more than a much repeated passage.  A combining aggregate by shingle; no shingle is sent back.
+    """
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lists = [t.lower().split() for t in text_bytes(part.column("text"))]
+                hashes = word_hashes([w for x in lists for w in x])
+                ends = np.cumsum([len(x) for x in lists])
+                sets = [shingle_set(hashes[e - len(x):e], width) for x, e in zip(lists, ends)]
+                ids = np.repeat(part.column("doc_id").to_numpy(), [len(x) for x in sets])
+                yield pa.record_batch([pa.array(ids), pa.array(np.concatenate(sets).view(np.int64))], names=["doc_id", "shingle"])
+
+    one = texts.mapInArrow(run, "doc_id long, shingle long").groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
+    return one.filter("doc_id = last").groupBy("doc_id").agg(F.count("*").alias("alone"))
 
 
 def with_sketches(pairs: DataFrame, chosen: DataFrame, settings: Settings) -> DataFrame:
