@@ -36,6 +36,9 @@ EMAIL = r"(?U)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 LONG_NUMBER = r"(?U)\b\d{6,}\b"
 ENTITY_RUN = (r"(?U)\b(?:[A-Z][\w.\-]*|[A-Za-z]+-\d+[\w\-]*)"
               r"(?:\s+(?:[A-Z][\w.\-]*|[A-Za-z]+-\d+[\w\-]*))*")
+TABLE_CAPTION = r"^\s*\**\s*(table\s+\d+[a-z]?\s*[:.\-–].*?)\**\s*$"
+TABLE_ROW = r"^\s*\|.*\|\s*$"
+TABLE_RULE = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$"
 # --- end of fixed values -----------------------------------------------------
 
 _CONNECTOR = "(?i:" + "|".join(config.HEADING_CONNECTORS) + r")(?!\S)"

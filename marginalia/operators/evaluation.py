@@ -2,16 +2,9 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage
-
-_BUCKETS = 1024
-_SMALL = 50_000
-
 
 def case_checks() -> dict[str, Column]:
     """Checks of a case against its response; null where the case does not ask for one.
@@ -30,40 +23,11 @@ def case_checks() -> dict[str, Column]:
     }
 
 
-def value_at_ranks(df: DataFrame, value: str, ranks: list[int]) -> list[float]:
-    """Exact values at 1-based ranks of the sorted column.
-
-    Equal values are first counted together; then a rank is located by repeatedly
-    counting a thousand equal-width buckets and zooming into one.  Only bucket counts
-    and one small final slice reach the driver.
-    """
-    counted = cut_lineage(df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c")))
-    found = {}
-    for rank in sorted(set(ranks)):
-        part, before = counted, 0
-        while True:
-            size, low, high = part.agg(F.count("*"), F.min("v"), F.max("v")).first()
-            if size <= _SMALL:
-                break
-            step = (high - low) / _BUCKETS
-            bucket = F.least(F.floor((F.col("v") - low) / step), F.lit(_BUCKETS - 1))
-            for at, total in sorted(part.groupBy(bucket).agg(F.sum("c")).collect()):
-                if before + total >= rank:
-                    part = part.filter(bucket == at)
-                    break
-                before += total
-        for v, c in part.orderBy("v").collect():
-            before += c
-            if before >= rank:
-                found[rank] = v
-                break
-    return [found[r] for r in ranks]
-
-
 def report(results: DataFrame) -> DataFrame:
     """One-row report over all cases; failed cases stay in the denominators.
 
-    Also reads ``error`` (null when answered) and ``latency_seconds``.
+    Also reads ``error`` (null when answered) and ``latency_seconds``, whose null, NaN and infinite values have no rank.
+    One combining aggregate; the percentiles count equal values together.
     """
     checks = case_checks()
     annotated = F.coalesce(F.col("expected_terms").isNotNull() | F.col("expected_doc_ids").isNotNull()
@@ -72,16 +36,12 @@ def report(results: DataFrame) -> DataFrame:
     for check in checks.values():
         passed = passed & F.coalesce(check, F.lit(True))
     fine = F.col("error").isNull()
-    n = results.count()
-    if n:
-        low, high, p95 = value_at_ranks(results, "latency_seconds", [(n + 1) // 2, n // 2 + 1, max(1, ceil(n * 0.95))])
-        middle = (low + high) / 2
-    else:
-        middle = p95 = None
-    return results.agg(
+    seconds = F.col("latency_seconds").cast("double")
+    timed = results.withColumn("_timed", F.when(~F.isnan(seconds) & (F.abs(seconds) != float("inf")), seconds))
+    return timed.agg(
         F.count("*").alias("total_questions"),
         F.count_if(fine & ~F.coalesce("insufficient_evidence", F.lit(True))).alias("answered"),
         F.count_if(~fine).alias("errors"), F.count_if(annotated).alias("annotated_cases"),
-        F.count_if(fine & passed).alias("passed_annotated_cases")).withColumn(
-            "median_latency_seconds", F.lit(middle).cast("double")).withColumn(
-            "p95_latency_seconds", F.lit(p95).cast("double"))
+        F.count_if(fine & passed).alias("passed_annotated_cases"),
+        F.percentile("_timed", 0.5).alias("median_latency_seconds"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY _timed)").alias("p95_latency_seconds"))

@@ -1,8 +1,7 @@
 """Parsed tables to retrievable text.
 
-A table is a value ``struct<rows, caption, page, section>``; readers stop after the
-header and 500 rows, so a table is a bounded row.  Squaring the grid is a small Arrow
-function; rendering and grouping are array expressions.
+A table is a value ``struct<rows, caption, page, section>`` as large as its file allows.
+Squaring the grid is a small Arrow function; rendering and grouping are array expressions.
 """
 
 from __future__ import annotations
@@ -120,15 +119,19 @@ def group_lines(lines: Column) -> Column:
         F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
 
 
-def table_pieces(tables: DataFrame) -> DataFrame:
+def table_pieces(tables: DataFrame, max_rows: int | None = None) -> DataFrame:
     """One row per text piece from rows carrying ``rows, caption, page, section``.
 
-    Other columns pass through; ``part`` numbers the pieces of a table from 1.
+    Other columns pass through; ``part`` numbers the pieces of a table from 1.  With ``max_rows`` only that many body rows
+    of a table are rendered, and ``rows_dropped`` says how many were not.
     """
     others = [c for c in tables.columns if c not in ("rows", "caption")]
+    if max_rows:
+        tables = tables.withColumn("rows_dropped", F.greatest(F.size("rows") - 1 - max_rows, F.lit(0)))
+        others.append("rows_dropped")
     cleaned = (tables.withColumn("_clean", clean_rows("rows")).filter(F.col("_clean").isNotNull())
                .withColumn("_header", F.get("_clean", F.lit(0)))
-               .withColumn("_body", F.slice("_clean", F.lit(2), F.lit(config.MAX_TABLE_ROWS)))
+               .withColumn("_body", F.slice("_clean", F.lit(2), F.lit(max_rows) if max_rows else F.size("_clean")))
                .withColumn("is_numeric", is_numeric_heavy(F.col("_body")))
                .withColumn("_talks", use_sentences(F.col("_header"))))
     spoken = F.filter(F.transform("_body", lambda r: row_sentence(F.col("_header"), r)), lambda s: s != "")

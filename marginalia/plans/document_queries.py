@@ -150,29 +150,29 @@ def relation_extract(spark, sf):
             F.col("r.relation").alias("relation"), F.col("r.object").alias("object"), F.col("r.evidence_quote").alias("quote"))
 
 
-def _order_tables(spark, sf, cells):
-    """Line items of an order as one table, header first; readers stop at 500 body rows."""
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
-    rows = top_per_key(table(spark, sf, "lineitem"), "l_orderkey", order, 500)
-    return rows.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(
-        F.struct("rank", F.array(*cells).alias("cells")))), lambda r: r["cells"]).alias("body"))
+def _line_tables(spark, sf, key, cells):
+    """Line items of an order or a supplier as one table, whole, in the order of their keys."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return table(spark, sf, "lineitem").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(
+        F.struct(*order, F.array(*cells).alias("cells")))), lambda r: r["cells"]).alias("body"))
 
 
 def row_sentences(spark, sf):
-    cells = [F.col("l_partkey").cast("string"), F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")),
+    """What each supplier delivered, tables of several hundred rows."""
+    cells = [F.col("l_partkey").cast("string"), F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")),
              F.col("l_quantity").cast("int").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")]
-    grown = _order_tables(spark, sf, cells).select(
-        "l_orderkey", F.concat(F.array(F.array(*map(F.lit, ("Part", "Sold by", "Quantity", "Shipped")))), "body").alias("rows"),
-        F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")).alias("caption"))
+    grown = _line_tables(spark, sf, "l_suppkey", cells).select(
+        "l_suppkey", F.concat(F.array(F.array(*map(F.lit, ("Part", "Sold in", "Quantity", "Shipped")))), "body").alias("rows"),
+        F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("caption"))
     cut = tables.table_pieces(grown)
-    return cut.select("l_orderkey", F.col("part").cast("long").alias("part"), F.col("parts").cast("long").alias("parts"),
+    return cut.select("l_suppkey", F.col("part").cast("long").alias("part"), F.col("parts").cast("long").alias("parts"),
                       F.md5("text").alias("text_md5"))
 
 
 def numeric_table_flag(spark, sf):
     odd = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_returnflag")).otherwise(F.lit("12.5%"))
     cells = [F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), odd]
-    return _order_tables(spark, sf, cells).select("l_orderkey", tables.is_numeric_heavy(F.col("body")).alias("is_numeric"))
+    return _line_tables(spark, sf, "l_orderkey", cells).select("l_orderkey", tables.is_numeric_heavy(F.col("body")).alias("is_numeric"))
 
 
 def table_grid(spark, sf):
@@ -383,13 +383,13 @@ QUERIES = {
           FROM customer JOIN nation ON c_nationkey = n_nationkey), t AS (SELECT *, subject || ' is managed by ' || object || '.' AS quote FROM s)
         SELECT doc_id, sha256('["document", "' || doc_id || '", 0, "' || sha256(quote) || '", "' || quote || '", null]') AS note_id, '' AS error,
           subject || ':Product|' || object || ':Person' AS entities, subject, 'managed_by' AS relation, object, quote FROM t"""),
-    "row_sentences": (row_sentences, r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem),
-        s AS (SELECT l_orderkey, (rn - 1) // 10 + 1 AS part, rn, 'Part ' || l_partkey || ': Sold by is Supplier ' || l_suppkey || ', Quantity is '
-          || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ', Shipped is ' || strftime(l_shipdate, '%Y-%m-%d') || '.' AS line FROM r WHERE rn <= 500),
-        g AS (SELECT l_orderkey, part, string_agg(line, chr(10) ORDER BY rn) AS body FROM s GROUP BY ALL),
-        p AS (SELECT *, max(part) OVER (PARTITION BY l_orderkey) AS parts FROM g)
-        SELECT l_orderkey, CAST(part AS BIGINT) AS part, CAST(parts AS BIGINT) AS parts, md5('Table: Order ' || l_orderkey || CASE WHEN parts > 1
-          THEN ' (part ' || part || ' of ' || parts || ')' ELSE '' END || chr(10) || 'Columns: Part, Sold by, Quantity, Shipped.' || chr(10) || body) AS text_md5 FROM p"""),
+    "row_sentences": (row_sentences, r"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS rn FROM lineitem),
+        s AS (SELECT l_suppkey, (rn - 1) // 10 + 1 AS part, rn, 'Part ' || l_partkey || ': Sold in is Order ' || l_orderkey || ', Quantity is '
+          || CAST(CAST(l_quantity AS INT) AS VARCHAR) || ', Shipped is ' || strftime(l_shipdate, '%Y-%m-%d') || '.' AS line FROM r),
+        g AS (SELECT l_suppkey, part, string_agg(line, chr(10) ORDER BY rn) AS body FROM s GROUP BY ALL),
+        p AS (SELECT *, max(part) OVER (PARTITION BY l_suppkey) AS parts FROM g)
+        SELECT l_suppkey, CAST(part AS BIGINT) AS part, CAST(parts AS BIGINT) AS parts, md5('Table: Supplier ' || l_suppkey || CASE WHEN parts > 1
+          THEN ' (part ' || part || ' of ' || parts || ')' ELSE '' END || chr(10) || 'Columns: Part, Sold in, Quantity, Shipped.' || chr(10) || body) AS text_md5 FROM p"""),
     "numeric_table_flag": (numeric_table_flag, """SELECT l_orderkey,
         count(*) FILTER (l_linenumber % 2 = 0) / (3.0 * count(*)) < 0.3 AS is_numeric FROM lineitem GROUP BY 1"""),
     "table_grid": (table_grid, """SELECT p_partkey, 'Name|Brand|column 3;' || p_name || '|' || p_brand || '|' || p_size || ';' || p_type || '||' AS grid FROM part"""),
