@@ -339,9 +339,32 @@ def outbox_counts(notes: DataFrame, documents: DataFrame | None = None) -> DataF
     if documents is None:
         return counts.withColumnRenamed("_notes", "vector_cleanup_pending")
     waiting = documents.agg(F.count_if(F.coalesce("cleanup_pending", F.lit(False))).alias("_docs"))
-    # two one-row frames, paired by a constant key
-    return (counts.withColumn("_k", F.lit(1)).join(waiting.withColumn("_k", F.lit(1)), "_k")
-            .select("vector_pending", (F.col("_notes") + F.col("_docs")).alias("vector_cleanup_pending")))
+    none = F.lit(0).cast("long")
+    both = counts.withColumn("_docs", none).unionByName(waiting.select(none.alias("vector_pending"), none.alias("_notes"), "_docs"))
+    return both.agg(F.sum("vector_pending").alias("vector_pending"), F.sum(F.col("_notes") + F.col("_docs")).alias("vector_cleanup_pending"))
+
+
+def vector_deletions(notes: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``(note_id, doc_id)`` to take out of the index: notes of replaced documents, and notes whose memory was superseded."""
+    return deletes.select("note_id", "doc_id").union(notes.filter("vector_delete_pending").select("note_id", "doc_id")).distinct()
+
+
+def vector_upserts(notes: DataFrame, deletes: DataFrame, failed: DataFrame) -> DataFrame:
+    """Pending notes that may be written now: a document whose old vectors could not be deleted is held back whole.
+    ``failed`` holds the note ids whose deletion did not succeed."""
+    held = deletes.join(failed.select("note_id"), "note_id", "left_semi").select("doc_id").distinct()
+    return notes.filter("vector_pending").join(held, "doc_id", "left_anti")
+
+
+def acknowledge(notes: DataFrame, deletes: DataFrame, failed_deletes: DataFrame, written: DataFrame, failed_writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(notes, deletes)`` after a delivery: only what succeeded is cleared.  ``written`` holds the note ids that were sent,
+    the failed ones have ``note_id``."""
+    left = deletes.join(failed_deletes.select("note_id"), "note_id", "left_semi").select(*deletes.columns)
+    sent = written.select("note_id").join(failed_writes.select("note_id"), "note_id", "left_anti").distinct().withColumn("_sent", F.lit(True))
+    stuck = failed_deletes.select("note_id").distinct().withColumn("_stuck", F.lit(True))
+    flagged = notes.join(sent, "note_id", "left").join(stuck, "note_id", "left")
+    return (flagged.withColumn("vector_pending", F.col("vector_pending") & F.col("_sent").isNull())
+            .withColumn("vector_delete_pending", F.col("vector_delete_pending") & F.coalesce("_stuck", F.lit(False))).select(*notes.columns), left)
 
 
 def vector_records(notes: DataFrame) -> DataFrame:

@@ -225,8 +225,21 @@ def answer_benchmark(spark, sf):
                       "insufficient_evidence", F.size("cited").cast("long").alias("n_cited"))
 
 
-def answer_customer_managers(spark, sf):
-    """Graph and search together: who manages each customer."""
+def plan_repair(spark, sf):
+    """Plans from model replies: sound, no JSON, another case of the route, a name that is not mentioned, nonsense."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("name"))
+    asked = c.withColumn("question", F.concat(F.lit("Who  manages "), "name", F.lit("?")))
+    reply = F.element_at(F.array(
+        F.concat(F.lit('Sure: {"rewritten_query": "manager of '), "name", F.lit('", "route": "graph", "target_entities": ["Nobody Else", "'), "name", F.lit('", "'), F.lower("name"), F.lit('"]}')),
+        F.lit("no json here"), F.lit('{"rewritten_query": "", "route": " Vector ", "target_entities": []}'),
+        F.lit('{"rewritten_query": "???", "route": "graph", "target_entities": ["Atlantis"]}'),
+        F.concat(F.lit('{"rewritten_query": "???", "route": "nonsense", "target_entities": ["'), "name", F.lit('"]}'))), (F.col("question_id") % 5).cast("int") + 1)
+    planned = ask.plan(asked.withColumn("reply", reply), F.col("reply"))
+    return planned.select("question_id", "query", "route", F.array_join("entities", "|").alias("entities"))
+
+
+def _manager_memory(spark, sf):
+    """Notes, memories, nodes and edges that say which nation manages each customer."""
     from ..operators import extraction, memory
     from .document_queries import _managed
     # the ingest job writes these tables; here their lineage is cut at the same places
@@ -247,13 +260,46 @@ def answer_customer_managers(spark, sf):
     memories = held.select("memory_id", F.lit("active").alias("status"), F.lit(None).cast("string").alias("replacement_id"))
     tables = ask.Memory(notes=held, memories=memories, nodes=nodes, surface_forms=nodes, edges=edges.drop("note_id"),
                         edge_sources=edges.select("edge_id", "note_id"))
-    asked = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+    return tables
+
+
+def answer_customer_managers(spark, sf):
+    """Graph and search together over all customers: one question for each supplier, about the customer of the same number."""
+    asked = table(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("question_id"), F.concat(F.lit("Who manages "), F.format_string("Customer-%09d", "s_suppkey"), F.lit("?")).alias("question"))
-    out = ask.answer_questions(asked, tables)
+    out = ask.answer_questions(asked, _manager_memory(spark, sf))
     first = F.get("cited", F.lit(0))
     return out.select("question_id", "answer_text", "state", first["evidence_id"].alias("evidence_id"), F.col("retries_used").cast("long").alias("retries_used"))
 
 
+def route_fallback(spark, sf):
+    """Questions by route with the document behind the answer: a graph question with facts is answered without search, one
+    about an unknown name falls back to search, a vector question never meets the graph, one without text is refused."""
+    key = F.col("s_suppkey")
+    asked = table(spark, sf, "supplier").select(key.alias("question_id"), F.concat(F.lit("Who manages "), F.format_string(
+        "Customer-%09d", F.when(key % 3 == 1, key + 900000000).otherwise(key)), F.lit("?")).alias("question"))
+    asked = asked.unionByName(asked.select(-F.col("question_id"), F.lit("???")).toDF("question_id", "question"))
+    name = F.regexp_extract("question", r"Customer-\d+", 0)
+    reply = F.concat(F.lit('{"rewritten_query": "", "route": "'), F.when(F.col("question_id") % 3 == 2, "vector").otherwise("graph"), F.lit('", "target_entities": ["'), name, F.lit('"]}'))
+    out = ask.answer_questions(asked.withColumn("reply", reply), _manager_memory(spark, sf), proposal=F.col("reply"))
+    source = F.get("sources", F.lit(0))
+    return out.select("question_id", "state", "route_used", source["doc_id"].alias("source_doc"), source["evidence_id"].alias("evidence_id"),
+                      F.when(F.col("state") == "INSUFFICIENT", F.col("reason")).alias("reason"))
+
+
+def answer_by_embedding(spark, sf):
+    """Benchmark items asked with a search leg by embedding instead of shared words."""
+    docs = table(spark, sf, "documents").select(
+        F.concat(F.lit("n"), "doc_id").alias("note_id"), F.format_string("%09d", "doc_id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+    questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+    width = [F.lit(w) for w in ("the", "and", "in", "of", "to")]
+    # five word counts stand in for a model: an embedding that SQL can repeat
+    counts = lambda text: F.transform(F.array(*width), lambda w: F.regexp_count(F.lower(F.col(text)), F.concat(F.lit(r"\b"), w, F.lit(r"\b"))).cast("double"))
+    out = ask.answer_questions(questions, ask.Memory(notes=docs), search=ask.vector_hits(counts))
+    source = F.get("sources", F.lit(0))
+    return out.select("question_id", "state", "route_used", source["doc_id"].alias("source_doc"))
+
+
 def eval_report(spark, sf):
     labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents")
     both = labels.join(docs, "doc_id")
@@ -345,6 +391,13 @@ QUERIES = {
             ELSE 'The uploaded documents do not contain enough information to answer this question.' END) AS answer_md5,
           CASE WHEN kept > 0 THEN 'GRAPH_SUPPORTED' ELSE 'INSUFFICIENT' END AS state, CASE WHEN kept = 0 THEN 0.0 WHEN hits > kept THEN 0.85 ELSE 0.9 END::DOUBLE AS confidence,
           kept = 0 AS insufficient_evidence, CASE WHEN kept > 0 THEN 1 ELSE 0 END::BIGINT AS n_cited FROM a"""),
+    "plan_repair": (plan_repair, """WITH c AS (SELECT c_custkey AS k, replace(c_name, '#', '-') AS name FROM customer)
+        SELECT k AS question_id, CASE k % 5 WHEN 0 THEN 'manager of ' || name ELSE 'Who manages ' || name || '?' END AS query,
+          CASE k % 5 WHEN 0 THEN 'graph' WHEN 2 THEN 'vector' ELSE 'hybrid' END AS route, CASE WHEN k % 5 IN (0, 1, 4) THEN name ELSE '' END AS entities FROM c"""),
+    "route_fallback": (route_fallback, """SELECT s_suppkey AS question_id, 'GRAPH_SUPPORTED' AS state, CASE s_suppkey % 3 WHEN 0 THEN 'graph' ELSE 'vector' END AS route_used,
+          CASE s_suppkey % 3 WHEN 1 THEN (SELECT min(CAST(c_custkey AS VARCHAR)) FROM customer) ELSE CAST(s_suppkey AS VARCHAR) END AS source_doc, 'E1' AS evidence_id, NULL AS reason FROM supplier
+        UNION ALL SELECT -s_suppkey, 'INSUFFICIENT', NULL, NULL, NULL, 'no searchable text' FROM supplier"""),
+    "answer_by_embedding": (answer_by_embedding, None),
     "answer_customer_managers": (answer_customer_managers, """SELECT s_suppkey AS question_id,
         'From the uploaded document: "' || replace(c_name, '#', '-') || ' is managed by ' || n_name || '." [E1].' AS answer_text, 'GRAPH_SUPPORTED' AS state, 'E1' AS evidence_id, CAST(0 AS BIGINT) AS retries_used
         FROM supplier JOIN customer ON c_custkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey"""),

@@ -155,6 +155,28 @@ def outbox_counts(spark, sf):
     return memory.outbox_counts(notes, docs)
 
 
+def outbox_flush(spark, sf):
+    """Notes after a delivery in which some deletions and some writes failed: documents are notes of one source, a third of
+    them replaced (their old notes wait for deletion), every thirteenth superseded."""
+    docs, n = table(spark, sf, "documents"), F.col("doc_id")
+    notes = docs.select(F.concat(F.lit("n"), n).alias("note_id"), F.concat_ws("-", "source", F.floor(n / 50)).alias("doc_id"),
+                        (n % 4 != 0).alias("vector_pending"), (n % 13 == 0).alias("vector_delete_pending"))
+    deletes = docs.filter(n % 97 == 0).select(F.concat(F.lit("old"), n).alias("note_id"), F.concat_ws("-", "source", F.floor(n / 50)).alias("doc_id"))
+    doomed = memory.vector_deletions(notes, deletes)
+    stuck = doomed.filter(F.regexp_extract("note_id", "[0-9]+", 0).cast("long") % 3 == 0)
+    ready = memory.vector_upserts(notes, deletes, stuck)
+    after, left = memory.acknowledge(notes, deletes, stuck, ready, ready.filter(F.regexp_extract("note_id", "[0-9]+", 0).cast("long") % 5 == 0))
+    return after.unionByName(left.select("note_id", "doc_id", F.lit(False).alias("vector_pending"), F.lit(True).alias("vector_delete_pending")))
+
+
+def vector_upsert_delete(spark, sf):
+    """An index after deletions and an upsert in which some vectors are new and some replaced."""
+    from ..operators import search
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("note_id"), "label", F.lit("stored").alias("origin"))
+    kept = search.delete_vectors(vectors.filter(F.col("note_id") % 3 != 0), vectors.filter(F.col("note_id") % 10 == 1).select("note_id"))
+    return search.upsert_vectors(kept, vectors.filter(F.col("note_id") % 4 == 0).withColumn("origin", F.lit("written")))
+
+
 def memory_merge_sources(spark, sf):
     notes = table(spark, sf, "documents").select(F.concat(F.lit("n"), "doc_id").alias("note_id"), F.col("doc_id"), F.lit(0).alias("chunk_index"),
                                                  F.col("text").alias("content"), F.lit("").alias("fact_signature"))
@@ -287,6 +309,13 @@ QUERIES = {
         " SELECT event_id, action, CASE WHEN superseded_by IS NULL THEN 'active' ELSE 'superseded' END AS status, superseded_by FROM k"),
     "outbox_counts": (outbox_counts, "WITH " + _ARRIVAL_SQL + """ SELECT count(*) FILTER (superseded_by IS NULL) AS vector_pending,
         count(*) FILTER (superseded_by IS NOT NULL) + (SELECT count(*) FROM labels WHERE toxic = 1) AS vector_cleanup_pending FROM k"""),
+    "outbox_flush": (outbox_flush, """WITH n AS (SELECT doc_id AS k, source || '-' || CAST(doc_id // 50 AS VARCHAR) AS d FROM documents),
+        held AS (SELECT DISTINCT d FROM n WHERE k % 97 = 0 AND k % 3 = 0)
+        SELECT 'n' || k AS note_id, n.d AS doc_id, k % 4 <> 0 AND (k % 5 = 0 OR held.d IS NOT NULL) AS vector_pending, k % 13 = 0 AND k % 3 = 0 AS vector_delete_pending
+        FROM n LEFT JOIN held USING (d)
+        UNION ALL SELECT 'old' || k, d, false, true FROM n WHERE k % 97 = 0 AND k % 3 = 0"""),
+    "vector_upsert_delete": (vector_upsert_delete, """SELECT vec_id AS note_id, label, CASE WHEN vec_id % 4 = 0 THEN 'written' ELSE 'stored' END AS origin FROM embeddings
+        WHERE vec_id % 4 = 0 OR (vec_id % 3 <> 0 AND vec_id % 10 <> 1)"""),
     "memory_merge_sources": (memory_merge_sources, """WITH f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS lead FROM documents)
         SELECT 'n' || doc_id AS note_id, sha256('["memory", "n' || lead || '"]') AS memory_id, CASE WHEN doc_id = lead THEN 'add' ELSE 'merge' END AS action,
           CASE WHEN doc_id = lead THEN 'Preserve distinct evidence' ELSE 'Identical source text' END AS reason FROM f"""),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -29,6 +30,7 @@ _EMPTY = {
     "edge_sources": "edge_id string, note_id string",
     "events": "note_id string, memory_id string, action string, reason string",
     "documents": "doc_id string, content_hash string, status string, cleanup_pending boolean",
+    "vector_deletes": "note_id string, doc_id string",
 }
 
 
@@ -67,7 +69,10 @@ def chunk_files(documents: DataFrame, describe=None) -> DataFrame:
 
 def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, DataFrame]:
     """Fold valid, informative notes into the tables; known notes are left out."""
-    fresh = notes.join(current["notes"].select("note_id"), "note_id", "left_anti").dropDuplicates(["note_id"])
+    fresh = notes.join(current["notes"].select("note_id"), "note_id", "left_anti")
+    # of repeated notes the first by document and chunk stays
+    firsts = fresh.groupBy("note_id").agg(F.min(F.struct(*memory.NOTE_ORDER)).alias("_first"))
+    fresh = fresh.join(firsts, "note_id").filter(F.struct(*memory.NOTE_ORDER) == F.col("_first")).drop("_first").dropDuplicates(["note_id"])
     order = list(memory.NOTE_ORDER)
     mentions = spread_array(fresh, ["note_id", *order], "entities", "e").select(
         "note_id", *order, F.col("e.name").alias("name"), F.col("e.type").alias("type"))
@@ -163,6 +168,8 @@ def ingest(spark: SparkSession, paths, store: Store, replace: bool = False, extr
     if kept_docs.take(1):
         gone = kept_docs.filter("_verdict = 'replacement'").select("doc_id")
         cleared = memory.delete_document(current, gone)
+        cleared["vector_deletes"] = current["vector_deletes"].unionByName(
+            current["notes"].join(gone, "doc_id", "left_semi").select("note_id", "doc_id")).distinct()
         cleared["surface_forms"] = current["surface_forms"].join(cleared["nodes"].select("node_id"), "node_id", "left_semi")
         good = notes.filter("_error is null and is_informative").join(kept_docs.select("doc_id"), "doc_id", "left_semi")
         tables = integrate(cleared, good)
@@ -173,19 +180,40 @@ def ingest(spark: SparkSession, paths, store: Store, replace: bool = False, extr
     return report.select("doc_id", "content_hash", "status", F.col("problem").alias("error"), "chunks_total", "notes_informative", "notes_skipped")
 
 
-def flush_outbox(store: Store, write) -> DataFrame:
-    """Send pending records to a vector index and acknowledge them in one commit.
-
-    ``write(records)`` receives a DataFrame ``(note_id, text, metadata)`` and must upsert
-    by note id; if it raises, nothing is acknowledged and the next call sends the same
-    records again.
+def _delivered(call, rows: DataFrame, what: str) -> DataFrame:
+    """Note ids of ``rows`` that ``call`` did not deliver: those it returns, or all if it raises."""
+    nothing = rows.select("note_id").limit(0)
+    if rows.isEmpty():
+        return nothing
+    try:
+        failed = call(rows)
+    except Exception as exc:
+        logging.getLogger(__name__).warning("%s failed and stays pending: %s", what, exc)
+        return rows.select("note_id")
+    return nothing if failed is None else cut_lineage(failed.select("note_id"))
+
+
+def flush_outbox(store: Store, write, delete=None) -> DataFrame:
+    """Deliver pending deletions and records to a vector index and acknowledge them in one commit.
+
+    ``delete(rows)`` receives ``(note_id, doc_id)``, ``write(records)`` receives
+    ``(note_id, text, metadata)`` and must upsert by note id.  Either may return a
+    DataFrame with the ``note_id`` values that failed, or raise when all did.  Deletions
+    go first; a document whose old notes could not be deleted is held back.  Only what
+    succeeded is acknowledged, so the next call sends the rest again.  Without ``delete``
+    nothing is deleted and replaced documents wait.
     """
-    base, tables = store.version(), store.tables()
-    notes = tables["notes"]
-    write(memory.vector_records(notes))
-    acknowledged = notes.withColumn("vector_pending", F.lit(False)).withColumn("vector_delete_pending", F.lit(False))
-    documents = tables["documents"].withColumn("cleanup_pending", F.lit(False))
-    store.commit({**tables, "notes": acknowledged, "documents": documents}, base)
+    base, tables = store.version(), {**empty_tables(store.spark), **store.tables()}
+    notes, deletes = tables["notes"], tables["vector_deletes"]
+    doomed = cut_lineage(memory.vector_deletions(notes, deletes))
+    stuck = _delivered(delete, doomed, "deleting vectors") if delete is not None else doomed.select("note_id")
+    ready = cut_lineage(memory.vector_upserts(notes, deletes, stuck))
+    unsent = _delivered(write, memory.vector_records(ready), "writing vectors")
+    after, left = memory.acknowledge(notes, deletes, stuck, ready, unsent)
+    waiting = left.select("doc_id").distinct().withColumn("_waits", F.lit(True))
+    documents = (tables["documents"].join(waiting, "doc_id", "left").withColumn("cleanup_pending", F.coalesce("_waits", F.lit(False)))
+                 .select(*tables["documents"].columns))
+    store.commit({**tables, "notes": after, "vector_deletes": left, "documents": documents}, base)
     return memory.outbox_counts(store.tables()["notes"], store.tables()["documents"])
 
 

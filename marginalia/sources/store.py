@@ -1,16 +1,20 @@
 """Versioned Parquet tables with an atomic commit.
 
-Every commit writes a new ``v=N`` folder and finally its ``_DONE`` marker; readers use
-the highest marked version, so they see all tables of one commit or none.  Writing
-starts by claiming the folder, which only one writer can do, and the claim is refused
-when another commit has landed since the writer read its version.
+Every commit writes its tables to a folder of its own, ``try-<id>``, and then claims the
+next version and renames that folder to ``v=N``.  Readers use the highest version, so they
+see all tables of one commit or none.  A writer that dies while writing leaves a ``try-``
+folder that nobody reads, and no claim.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA_VERSION = 1
+STALE_SECONDS = 600
 
 
 class StoreError(RuntimeError):
@@ -35,7 +39,7 @@ class Store:
         done = [0]
         for entry in fs.listStatus(root):
             name = entry.getPath().getName()
-            if name.startswith("v=") and fs.exists(self._path(name, "_DONE")):
+            if name.startswith("v=") and name[2:].isdigit():
                 done.append(int(name[2:]))
         return max(done)
 
@@ -53,15 +57,18 @@ class Store:
         fs, latest = self._fs(), self.version()
         if base is not None and base != latest:
             raise StoreError("the store changed in another session; refresh and retry")
-        folder = f"v={latest + 1}"
-        fs.mkdirs(self._path(folder))
-        if not fs.createNewFile(self._path(folder, "_CLAIM")):
+        attempt = f"try-{uuid.uuid4().hex}"
+        for name, df in tables.items():
+            df.write.mode("error").option("compression", "zstd").parquet(f"{self.root}/{attempt}/{name}")
+        # One writer can create the claim, and holds it for two renames; one left by a writer that died meanwhile is taken over.
+        claim, target = self._path(f"next-{latest + 1}"), self._path(f"v={latest + 1}")
+        if fs.exists(claim) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_SECONDS:
+            fs.delete(claim, False)
+        if not fs.createNewFile(claim):
             raise StoreError("another writer is committing; refresh and retry")
         try:
-            for name, df in tables.items():
-                df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{folder}/{name}")
-        except Exception:
-            fs.rename(self._path(folder), self._path(f"failed-{folder}"))
-            raise
-        fs.createNewFile(self._path(folder, "_DONE"))
+            if fs.exists(target) or not fs.rename(self._path(attempt), target):
+                raise StoreError("the store changed in another session; refresh and retry")
+        finally:
+            fs.delete(claim, False)
         return latest + 1

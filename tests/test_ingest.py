@@ -112,3 +112,48 @@ def test_figures(spark):
             raise ValueError("no")
         return data.decode() + " picture"
     assert [r.text for r in fl.describe_figures(docs, describe).collect()] == ["Figure 1\nok picture"]
+
+
+def test_outbox_keeps_what_failed(spark, tmp_path):
+    """Old notes of a replaced document are deleted first; what fails stays pending, the document waits meanwhile."""
+    files = tmp_path / "f"
+    files.mkdir()
+    for name, person in (("atlas", "Mara"), ("beacon", "Ivo")):
+        (files / f"{name}.txt").write_text(f"{name.title()} is managed by {person}. " + FILLER)
+    store = Store(spark, str(tmp_path / "store"))
+    ing.ingest(spark, str(files), store).collect()
+    index = {}
+    write = lambda records: index.update({r.note_id: r.text for r in records.collect()})
+
+    def broken(rows):
+        raise OSError("no connection")
+
+    assert tuple(ing.flush_outbox(store, broken).first()) == (2, 0)
+    assert tuple(ing.flush_outbox(store, write).first()) == (0, 0) and len(index) == 2
+    (files / "atlas.txt").write_text("Atlas is managed by Nele. " + FILLER)
+    ing.ingest(spark, str(files / "atlas.txt"), store, replace=True).collect()
+    assert tuple(ing.flush_outbox(store, write, broken).first()) == (1, 1) and len(index) == 2
+    assert tuple(ing.flush_outbox(store, write, lambda rows: [index.pop(r.note_id, None) for r in rows.collect()] and None).first()) == (0, 0)
+    assert sorted(t[:25] for t in index.values()) == ["Atlas is managed by Nele.", "Beacon is managed by Ivo."]
+
+
+def test_a_dead_writer_blocks_nobody(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    one = spark.range(3)
+    assert store.commit({"t": one}) == 1
+    (tmp_path / "store" / "try-dead").mkdir()
+    claim = tmp_path / "store" / "next-2"
+    claim.write_text("")
+    with pytest.raises(StoreError):
+        store.commit({"t": one})
+    import os
+    os.utime(claim, (1, 1))
+    assert store.commit({"t": one}) == 2 and store.tables()["t"].count() == 3
+
+
+def test_readers_keep_cells(spark):
+    made = fl._read_markdown("|| Q1 | Q2 |\n|---|---|---|\n| a | 1 ||\n".encode(), "x")["tables"][0]["rows"]
+    assert made == [["", "Q1", "Q2"], ["a", "1", ""]]
+    assert fl._read_csv(b"a;b\n1,5;2\n3,5;4\n", "my_file")["tables"][0] == {"rows": [["a", "b"], ["1,5", "2"], ["3,5", "4"]], "caption": "my file", "page": None, "section": None}
+    assert fl._read_csv(b" \n", "x") == {} and fl._read_csv(b"one\ntwo\n", "x")["tables"][0]["rows"] == [["one"], ["two"]]
+    assert fl._excel_time("45000") == "2023-03-15 00:00:00" and fl._excel_time("1.5") == "1900-01-01 12:00:00"
