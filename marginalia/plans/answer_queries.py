@@ -294,7 +294,10 @@ def answer_by_embedding(spark, sf):
     questions = table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     width = [F.lit(w) for w in ("the", "and", "in", "of", "to")]
     # five word counts stand in for a model: an embedding that SQL can repeat
-    counts = lambda text: F.transform(F.array(*width), lambda w: F.regexp_count(F.lower(F.col(text)), F.concat(F.lit(r"\b"), w, F.lit(r"\b"))).cast("double"))
+    def counts(text):
+        words = F.split(F.lower(text), "[ \n]")
+        return F.transform(F.array(*width), lambda w: F.size(F.filter(words, lambda x: x == w)).cast("double"))
+
     out = ask.answer_questions(questions, ask.Memory(notes=docs), search=ask.vector_hits(counts))
     source = F.get("sources", F.lit(0))
     return out.select("question_id", "state", "route_used", source["doc_id"].alias("source_doc"))
@@ -397,7 +400,13 @@ QUERIES = {
     "route_fallback": (route_fallback, """SELECT s_suppkey AS question_id, 'GRAPH_SUPPORTED' AS state, CASE s_suppkey % 3 WHEN 0 THEN 'graph' ELSE 'vector' END AS route_used,
           CASE s_suppkey % 3 WHEN 1 THEN (SELECT min(CAST(c_custkey AS VARCHAR)) FROM customer) ELSE CAST(s_suppkey AS VARCHAR) END AS source_doc, 'E1' AS evidence_id, NULL AS reason FROM supplier
         UNION ALL SELECT -s_suppkey, 'INSUFFICIENT', NULL, NULL, NULL, 'no searchable text' FROM supplier"""),
-    "answer_by_embedding": (answer_by_embedding, None),
+    "answer_by_embedding": (answer_by_embedding, """WITH w AS (SELECT ['the', 'and', 'in', 'of', 'to'] AS ws),
+        q AS (SELECT item_id, list_transform(ws, lambda x: len(list_filter(regexp_split_to_array(lower(text), '[ \n]'), lambda y: y = x))::DOUBLE) AS v FROM benchmark, w),
+        d AS (SELECT doc_id, list_transform(ws, lambda x: len(list_filter(regexp_split_to_array(lower(text), '[ \n]'), lambda y: y = x))::DOUBLE) AS v FROM documents, w),
+        s AS (SELECT item_id, doc_id, round(list_cosine_similarity(q.v, d.v), 6) AS score FROM q, d WHERE list_sum(q.v) > 0 AND list_sum(d.v) > 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, 'n' || doc_id) AS rn FROM s)
+        SELECT b.item_id AS question_id, CASE WHEN score >= 0.25 THEN 'GRAPH_SUPPORTED' ELSE 'INSUFFICIENT' END AS state, CASE WHEN score >= 0.25 THEN 'vector' ELSE 'hybrid' END AS route_used,
+          CASE WHEN score >= 0.25 THEN printf('%09d', doc_id) END AS source_doc FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND rn = 1"""),
     "answer_customer_managers": (answer_customer_managers, """SELECT s_suppkey AS question_id,
         'From the uploaded document: "' || replace(c_name, '#', '-') || ' is managed by ' || n_name || '." [E1].' AS answer_text, 'GRAPH_SUPPORTED' AS state, 'E1' AS evidence_id, CAST(0 AS BIGINT) AS retries_used
         FROM supplier JOIN customer ON c_custkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey"""),
