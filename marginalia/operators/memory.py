@@ -111,12 +111,22 @@ def _best_overlaps(wanted, offered, left, right, within, order, limit):
 
 def candidate_memories(notes: DataFrame, memories: DataFrame, order=("memory_id",),
                        limit: int = config.MAX_CANDIDATES) -> DataFrame:
-    """``(note_id, memory_id, shared, rank)``: active memories sharing entities with a note.
+    """``(note_id, memory_id, shared, rank)``: active memories sharing entities or, where both
+    sides have ``content``, the whole text with a note.
 
-    ``items`` holds the entity ids of a note or memory.
+    ``items`` holds the entity ids of a note or memory.  A memory of the same text without
+    a shared entity ranks after all that share one.
     """
     active = memories.filter(F.col("status") == "active")
-    return _best_overlaps(notes, active, "note_id", "memory_id", [], list(order), limit)
+    best = _best_overlaps(notes, active, "note_id", "memory_id", [], list(order), limit)
+    if "content" not in notes.columns or "content" not in memories.columns:
+        return best
+    others = [c for c in order if c != "memory_id"]
+    digest = ident.content_hash("content").alias("_h")
+    first = top_per_key(active.select("memory_id", *others, digest), "_h", list(order), limit, "_at").drop("_at")
+    twins = notes.select("note_id", digest).join(first, "_h").select("note_id", "memory_id", *others, F.lit(0).cast("long").alias("shared"))
+    both = best.drop("rank").unionByName(twins).groupBy("note_id", "memory_id", *others).agg(F.max("shared").alias("shared"))
+    return top_per_key(both, "note_id", [F.desc("shared"), *order], limit)
 
 
 # --- merge ------------------------------------------------------------------
@@ -141,14 +151,18 @@ def merge_identical(notes: DataFrame, order=NOTE_ORDER, known: DataFrame | None
     first = hashed.groupBy("_h").agg(F.min(at).alias("_f")).select(
         "_h", F.col("_f.note_id").alias("_first"), F.col("_f.fact_signature").alias("_facts"))
     if known is not None:
-        held = (known.withColumn("_h", ident.content_hash("content")).groupBy("_h")
-                .agg(F.min(F.struct("memory_id", "fact_signature")).alias("_k")))
+        kept = known.select("memory_id", ident.content_hash("content").alias("_h"), F.coalesce("fact_signature", F.lit("\0")).alias("_sig"))
+        held = kept.groupBy("_h").agg(F.min(F.struct("memory_id", "_sig")).alias("_k"))
+        same = kept.groupBy("_h", "_sig").agg(F.min("memory_id").alias("_same"))
         first = first.join(held, "_h", "left").select(
-            "_h", "_first", F.coalesce("_k.fact_signature", "_facts").alias("_facts"),
+            "_h", "_first", F.when(F.col("_k").isNotNull(), F.nullif("_k._sig", F.lit("\0"))).otherwise(F.col("_facts")).alias("_facts"),
             F.col("_k.memory_id").alias("_held"))
+        # of several memories of one text, the one with the note's own facts is the note's
+        joined = (hashed.withColumn("_sig", F.coalesce("fact_signature", F.lit("\0"))).join(same, ["_h", "_sig"], "left").join(first, "_h")
+                  .withColumn("_held", F.coalesce("_same", "_held"))
+                  .withColumn("_facts", F.when(F.col("_same").isNotNull(), F.col("fact_signature")).otherwise(F.col("_facts"))).drop("_sig", "_same"))
     else:
-        first = first.withColumn("_held", F.lit(None).cast("string"))
-    joined = hashed.join(first, "_h")
+        joined = hashed.join(first.withColumn("_held", F.lit(None).cast("string")), "_h")
     leads = F.col("_held").isNull() & (F.col("note_id") == F.col("_first"))
     agrees = F.col("fact_signature").eqNullSafe(F.col("_facts"))
     own = ident.memory_id("note_id")

@@ -174,3 +174,18 @@ def test_outbox_stream_is_idempotent(spark, tmp_path):
     stream = spark.readStream.schema("note_id string, text string").parquet(str(tmp_path / "in"))
     jobs.outbox_stream(stream, lambda batch, i: index.update({r.note_id: r.text for r in batch.collect()}), str(tmp_path / "ck")).awaitTermination(60)
     assert index == {"a": "x", "b": "y"}
+
+
+def test_candidates_by_identical_text(spark):
+    notes = spark.createDataFrame([("n1", ["e1"], "same"), ("n2", [], "other")], "note_id string, items array<string>, content string")
+    held = spark.createDataFrame([("m1", "active", ["e1"], "x"), ("m2", "active", ["e9"], "same"), ("m3", "retired", [], "same"), ("m4", "active", ["e1"], "same")],
+                                 "memory_id string, status string, items array<string>, content string")
+    got = [(r.note_id, r.memory_id, r.shared, r["rank"]) for r in memory.candidate_memories(notes, held).orderBy("note_id", "rank").collect()]
+    assert got == [("n1", "m1", 1, 1), ("n1", "m4", 1, 2), ("n1", "m2", 0, 3)]
+
+
+def test_merge_finds_the_memory_with_the_same_facts(spark):
+    notes = spark.createDataFrame([("n1", "d", 0, "t", "f2"), ("n2", "d", 1, "t", "f3")], "note_id string, doc_id string, chunk_index int, content string, fact_signature string")
+    known = spark.createDataFrame([("a", "t", "f1"), ("b", "t", "f2")], "memory_id string, content string, fact_signature string")
+    got = {r.note_id: (r.action, r.memory_id, r.reason) for r in memory.merge_identical(notes, known=known).collect()}
+    assert got["n1"][:2] == ("merge", "b") and got["n2"][0] == "add" and got["n2"][2].endswith("facts differ")
