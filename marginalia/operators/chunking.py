@@ -9,6 +9,7 @@ paragraphs or with an over-long one; the rest pass as nulls.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+import math
 import re
 
 import numpy as np
@@ -27,32 +28,36 @@ _BREAK = re.compile(r"""(?<=[.!?])\s+(?=[A-Z0-9"'(\[])""")
 def near_duplicates(texts) -> list[bool]:
     """True for every text that closely repeats an earlier kept one.
 
-    The character-matching ratio is costly, so two exact upper bounds come first:
-    the length ratio and the shared-character count.  Only candidates above the
-    threshold on both are compared.
+    The character-matching ratio is costly, so two exact upper bounds come first: kept
+    texts are looked up by the lengths that can reach the limit, then by shared
+    characters.  Only candidates above the limit on both are compared.
     """
     limit = config.DUPLICATE_SIMILARITY
     drop, seen, kept = [], set(), []
-    lengths, counts = np.empty(0, int), np.empty((0, 256), np.int32)
+    by_length: dict[int, list[int]] = {}
+    counts = np.empty((64, 256), np.int32)
     for text in texts:
         if text in seen:
             drop.append(True)
             continue
+        size = len(text)
         codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % 256
         profile = np.bincount(codes, minlength=256).astype(np.int32)
-        size = len(text)
-        total = np.maximum(lengths + size, 1)
-        close = np.flatnonzero(2 * np.minimum(lengths, size) / total >= limit)
+        low, high = math.floor(size * limit / (2 - limit)), math.ceil(size * (2 - limit) / limit)
+        lengths = range(low, high + 1) if high - low < len(by_length) else [n for n in by_length if low <= n <= high]
+        close = np.array([i for n in lengths if 2 * min(n, size) / max(n + size, 1) >= limit for i in by_length.get(n, ())], int)
         if close.size:
-            shared = np.minimum(counts[close], profile).sum(axis=1)
-            close = close[2 * shared / total[close] >= limit]
+            total = np.array([len(kept[i]) for i in close]) + size
+            close = close[2 * np.minimum(counts[close], profile).sum(axis=1) / np.maximum(total, 1) >= limit]
         repeated = any(SequenceMatcher(None, text, kept[i]).ratio() >= limit for i in close)
         drop.append(repeated)
         if not repeated:
             seen.add(text)
+            if len(kept) == len(counts):
+                counts = np.concatenate((counts, np.empty_like(counts)))
+            counts[len(kept)] = profile
+            by_length.setdefault(size, []).append(len(kept))
             kept.append(text)
-            lengths = np.append(lengths, size)
-            counts = np.vstack([counts, profile])
     return drop
 
 

@@ -43,21 +43,21 @@ def chunk_files(documents: DataFrame, describe=None) -> DataFrame:
     pages = spread_array(documents, ["doc_id", "suffix"], "pages", "text", "_at").select(
         "doc_id", "suffix", (F.col("_at") + 1).alias("page"), "text")
     flat = chunking.chunk_documents(cleaning.clean_documents(pages.filter("suffix <> 'pdf'").drop("suffix"))).select(
-        "doc_id", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("page"), F.col("chunk_index").alias("at"), "section", "text",
+        "doc_id", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("page"), F.col("chunk_index").cast("long").alias("at"), "section", "text",
         F.lit(False).alias("is_numeric_table"))
     paged = chunking.chunk_pages(cleaning.clean_page_texts(pages.filter("suffix = 'pdf'").drop("suffix"))).select(
-        "doc_id", F.lit(0).alias("kind"), "page", F.col("position").alias("at"), "section", "text", F.lit(False).alias("is_numeric_table"))
+        "doc_id", F.lit(0).alias("kind"), "page", F.col("position").cast("long").alias("at"), "section", "text", F.lit(False).alias("is_numeric_table"))
     where = chunking.page_sections(pages.drop("suffix")).withColumnRenamed("section", "_near")
     merged = documents.select("doc_id", tb.merge_continuations(F.col("tables").cast(f"array<{tb.TABLE}>")).alias("t"))
     each = spread_array(merged, ["doc_id"], "t", "t", "table_at").select(
         "doc_id", "table_at", "t.rows", "t.caption", "t.page", "t.section")
     cells = tb.table_pieces(each).join(where, ["doc_id", "page"], "left").select(
-        "doc_id", F.lit(1).alias("kind"), "page", (F.col("table_at") * 1000 + F.col("part")).alias("at"),
+        "doc_id", F.lit(1).alias("kind"), "page", (F.col("table_at").cast("long") * 10_000_000 + F.col("part")).alias("at"),
         F.coalesce("section", "_near").alias("section"), "text", F.col("is_numeric").alias("is_numeric_table"))
     parts = [flat, paged, cells]
     if describe is not None:
         told = fl.describe_figures(documents, describe).join(where, ["doc_id", "page"], "left")
-        parts.append(told.select("doc_id", F.lit(2).alias("kind"), "page", F.col("position").alias("at"), F.col("_near").alias("section"),
+        parts.append(told.select("doc_id", F.lit(2).alias("kind"), "page", F.col("position").cast("long").alias("at"), F.col("_near").alias("section"),
                                  "text", F.lit(False).alias("is_numeric_table")))
     whole = reduce(DataFrame.unionByName, parts)
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("kind", F.col("page").asc_nulls_first(), "at")) - 1

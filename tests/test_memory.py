@@ -189,3 +189,21 @@ def test_merge_finds_the_memory_with_the_same_facts(spark):
     known = spark.createDataFrame([("a", "t", "f1"), ("b", "t", "f2")], "memory_id string, content string, fact_signature string")
     got = {r.note_id: (r.action, r.memory_id, r.reason) for r in memory.merge_identical(notes, known=known).collect()}
     assert got["n1"][:2] == ("merge", "b") and got["n2"][0] == "add" and got["n2"][2].endswith("facts differ")
+
+
+def test_model_notes_are_asked_again_with_the_error(spark):
+    from marginalia.operators import extraction
+    chunks = spark.createDataFrame([("d", 0, "Atlas is managed by Mara."), ("d", 1, "fails twice"), ("d", 2, "fine at once")], "doc_id string, chunk_index int, text string")
+
+    def model(prompt):
+        entity = {"name": "Atlas", "type": "Product"}
+        empty = {"is_informative": True, "entities": [], "relations": [], "keywords": ["k"], "tags": [], "context": "c", "title": "t"}
+        if prompt.startswith("fails"):
+            raise ValueError("down")
+        if prompt.startswith("Atlas"):
+            return {**empty, "entities": [entity] if "Repair error: Entity names must be unique" in prompt else [entity, entity]}
+        return empty
+
+    rows = {r.chunk_index: r for r in extraction.model_notes(chunks, model, F.col("text")).collect()}
+    assert len(rows) == 3 and [e.name for e in rows[0].entities] == ["Atlas"] and rows[1].is_informative is None and rows[2].keywords == ["k"]
+    assert set(rows[0].asDict()) >= {"note_id", "content"} and "_prompt" not in rows[0].asDict()
