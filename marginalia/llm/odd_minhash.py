@@ -117,24 +117,26 @@ def near_enough(settings: Settings, a: str = "a", b: str = "b") -> Column:
     return (100 * F.least(na, nb) >= settings.percent * F.greatest(na, nb)) & (odd_bits(f"sketch_{a}", f"sketch_{b}", settings.sketch_longs) <= settings.most_odd)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
-    """Those pairs (a, b) whose full shingle sets reach the similarity.  ``texts`` has (doc_id, text)."""
+def compared(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) with how many shingles their full sets share, and whether that reaches the similarity.  ``texts``
+    has (doc_id, text)."""
     both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
             .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"))
 
     def run(batches):
         held, known = None, set()
         for batch in batches:
-            kept = []
+            counts, linked = [], []
             for a, ta, tb in zip(batch.column("a").to_pylist(), text_bytes(batch.column("text_a")), text_bytes(batch.column("text_b"))):
-                if a != held:
-                    held, known = a, exact_set(ta, settings.width)
+                if (a, ta) != held:
+                    held, known = (a, ta), exact_set(ta, settings.width)
                 other = exact_set(tb, settings.width)
                 shared = len(known & other)
-                kept.append(100 * shared >= settings.percent * (len(known) + len(other) - shared) and shared > 0)
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+                counts.append(shared)
+                linked.append(shared > 0 and 100 * shared >= settings.percent * (len(known) + len(other) - shared))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(counts, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "shared", "linked"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, shared long, linked boolean")
 
 
 def exact_set(text: bytes, width: int) -> set:
@@ -197,22 +199,33 @@ def links_between(chosen: DataFrame, rows: DataFrame, settings: Settings) -> Dat
     # First: each document with the leader that it shares most bands with.
     shared = led.filter("doc_id <> leader").groupBy("doc_id", "leader").agg(F.count("*").alias("bands"))
     best = shared.groupBy("doc_id").agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("leader"))
-    first = cut_lineage(confirmed(with_sketches(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), chosen, settings), texts, settings))
+    tried = cut_lineage(compared(with_sketches(best.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")), chosen, settings), texts, settings))
+    first = tried.filter("linked").select("a", "b")
     label = components(first)
     # Then: members of one bucket in different components, as far as they have enough shingles in common with anything.
     placed = near.select("doc_id", "band").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed_up = (placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("band"))
     unsettled = cut_lineage(placed.join(mixed_up, "band").select("band", "doc_id", "component"))
     asked = unsettled.select("doc_id").distinct()
-    alone = unshared(texts.join(asked, "doc_id", "left_semi"), settings.width)
-    open_docs = cut_lineage(asked.join(chosen.select("doc_id", "n", "sketch"), "doc_id").join(alone, "doc_id", "left")
-                            .withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone").filter(100 * F.col("common") >= settings.percent * F.col("n")))
+    led_by = tried.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("ref"), F.min("shared").alias("with_ref"))
+    counted = asked.union(led_by.join(asked, "doc_id", "left_semi").select("ref")).distinct()
+    alone = unshared(texts.join(counted, "doc_id", "left_semi"), settings.width)
+    open_docs = cut_lineage(asked.join(chosen.select("doc_id", "n", "sketch", "bands"), "doc_id").join(alone, "doc_id", "left").join(led_by, "doc_id", "left")
+                            .withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0))).filter(100 * F.col("common") >= settings.percent * F.col("n"))
+                            .withColumn("beside", F.col("common") - F.col("with_ref")).drop("alone"))
     left = unsettled.join(open_docs, "doc_id")
-    side = lambda x: left.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "sketch", "common")), F.col("doc_id").alias(x))
-    enough = (100 + settings.percent) * F.least("common_a", "common_b") >= settings.percent * (F.col("n_a") + F.col("n_b"))
-    pairs = (side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & enough & near_enough(settings))
+    side = lambda x: left.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("component", "n", "sketch", "bands", "common", "ref", "with_ref", "beside")),
+                                 F.col("doc_id").alias(x))
+    needed = settings.percent * (F.col("n_a") + F.col("n_b"))
+    enough = (100 + settings.percent) * F.least("common_a", "common_b") >= needed
+    # Two documents compared with one leader share at most the lesser part of the leader, and of what else is not theirs alone.
+    by_leader = (100 + settings.percent) * (F.least("with_ref_a", "with_ref_b") + F.least("beside_a", "beside_b")) >= needed
+    possible = enough & F.when(F.col("ref_a") == F.col("ref_b"), by_leader).otherwise(F.lit(True)) & ~F.coalesce((F.col("ref_a") == F.col("b")) | (F.col("ref_b") == F.col("a")), F.lit(False))
+    once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("band")
+    pairs = (side("a").join(side("b"), "band").filter((F.col("a") < F.col("b")) & (F.col("component_a") != F.col("component_b")) & possible & near_enough(settings) & once)
              .select("a", "b").distinct())
-    return first.union(confirmed(cut_lineage(pairs), texts, settings))
+    second = compared(cut_lineage(pairs), texts, settings).filter("linked").select("a", "b")
+    return first.union(second)
 
 
 def unshared(texts: DataFrame, width: int) -> DataFrame:
