@@ -25,7 +25,7 @@ from .common import columns_of, map_texts, mixed, slices, text_bytes, word_hashe
 
 BEGIN, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-FLUSH_TOKENS = 3_000_000
+FLUSH_TOKENS = 2_500_000
 #: Followers of one context are dealt to this many shards, so that a very common word does not load one of them.
 SPLIT = np.uint64(16)
 BIG = 255
