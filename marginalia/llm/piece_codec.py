@@ -91,7 +91,7 @@ class Encoder:
         return [self.vocab.ids[p] for p in taken]
 
 
-CACHE_PAIRS = 200_000
+CACHE_PAIRS = 120_000
 
 
 @functools.lru_cache(maxsize=2)

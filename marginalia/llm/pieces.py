@@ -6,7 +6,7 @@ import functools
 import re
 
 SPACE = "▁"
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 CACHED_LENGTH = 48
 
 
@@ -52,12 +52,18 @@ def vocabulary(path: str) -> Vocabulary:
 
 class PartCache(dict):
     """Results by part, of short parts, in bounded number: the entries of a full cache are kept as an older generation,
-    from which those still in use come back."""
+    from which those still in use come back.  A worker that goes on to another operator drops what it kept for the last."""
+
+    made: list = []
 
     def __init__(self, work):
         super().__init__()
         self.work = work
         self.older: dict = {}
+        for other in self.made:
+            other.clear()
+            other.older = {}
+        self.made.append(self)
 
     def __missing__(self, part):
         made = self.older.pop(part, None)
