@@ -180,6 +180,68 @@ def test_repeated_passages(spark):
     assert all(r.n_chars == len(r.text) for r in left.values())
 
 
+def windows_of(text):
+    hashes = common.shingle_hashes(common.word_hashes([w.encode() for w in text]), 5)
+    made = passages.compact_windows(hashes, np.array([len(hashes)]), passages.Settings())
+    return {(int(k), fn): int(c) for fn, (keys, _, _, _, centre, _) in enumerate(made) for k, c in zip(keys, centre)}
+
+
+def in_tasks(spark, docs):
+    """The documents of each list in a task of their own."""
+    rows = spark.sparkContext.parallelize(docs, len(docs)).flatMap(lambda part: [(d, " ".join(w)) for d, w in part])
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def covered_words(found):
+    covered = collections.defaultdict(set)
+    for r in found:
+        covered[r.doc_id].update(range(r.start, r.stop))
+    return covered
+
+
+def test_passage_behind_an_unrelated_first_text(spark):
+    """In each task, a text that shares only the min-hash shingles of a passage stands first in all groups of the passage."""
+    rng = random.Random(31)
+    passage = words(rng, 60)
+    a, b = words(rng, 80) + passage + words(rng, 80), words(rng, 120) + passage + words(rng, 40)
+    at_a = windows_of(a)
+    both = set(at_a) & set(windows_of(b))
+    assert {fn for _, fn in both} == {0, 1, 2, 3}
+
+    def unrelated():
+        out = []
+        for key in sorted(both):
+            while key not in windows_of(piece := words(rng, 60) + a[at_a[key]:at_a[key] + 5] + words(rng, 60)):
+                pass
+            out += piece
+        return out
+
+    found = passages.repeated_passages(in_tasks(spark, [[(1, unrelated()), (11, a)], [(2, unrelated()), (12, b)]])).collect()
+    assert covered_words(found) == {12: set(range(120, 180))} and {r.source_doc_id for r in found} == {11}
+
+
+def test_passages_by_brute_force(spark, monkeypatch):
+    """Every run of fifty words that stands in an earlier document is covered, however tasks and flushes cut the corpus."""
+    monkeypatch.setattr(passages, "FLUSH_WINDOWS", 60)
+    rng = random.Random(32)
+    shared = [words(rng, n) for n in (50, 55, 64, 90, 130)]
+    line = words(rng, 12)
+    docs = []
+    for d in range(40):
+        text = words(rng, rng.randrange(30))
+        for _ in range(rng.randrange(4)):
+            p = rng.choice(shared)
+            lo = rng.randrange(len(p) - 49)
+            text += p[lo:rng.randrange(lo + 50, len(p) + 1)] + rng.choice([line, words(rng, rng.randrange(40))])
+        docs.append((d, text))
+    covered = covered_words(passages.repeated_passages(in_tasks(spark, [docs[k::5] for k in range(5)])).collect())
+    seen = set()
+    for d, text in docs:
+        runs = {i: tuple(text[i:i + 50]) for i in range(len(text) - 49)}
+        assert {w for i, x in runs.items() if x in seen for w in range(i, i + 50)} <= covered[d]
+        seen.update(runs.values())
+
+
 def test_cut_words_keeps_the_rest_byte_for_byte():
     assert passages.cut_words(" a\tb  c é\nd ", [[1, 3]]) == " a\té\nd "
     assert passages.cut_words("a b c", [[0, 3]]) == "" and passages.cut_words("a b c", [[1, 9]]) == "a "
