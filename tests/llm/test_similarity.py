@@ -220,6 +220,15 @@ def test_passage_behind_an_unrelated_first_text(spark):
     assert covered_words(found) == {12: set(range(120, 180))} and {r.source_doc_id for r in found} == {11}
 
 
+def test_passage_at_two_places_of_one_document(spark):
+    """Both copies are found where the earlier document is in another task."""
+    rng = random.Random(33)
+    passage = words(rng, 60)
+    docs = [[(1, words(rng, 30) + passage + words(rng, 30))], [(2, words(rng, 100) + passage + words(rng, 90) + passage + words(rng, 20))]]
+    covered = covered_words(passages.repeated_passages(in_tasks(spark, docs)).collect())
+    assert covered == {2: set(range(100, 160)) | set(range(250, 310))}
+
+
 def test_passages_by_brute_force(spark, monkeypatch):
     """Every run of fifty words that stands in an earlier document is covered, however tasks and flushes cut the corpus."""
     monkeypatch.setattr(passages, "FLUSH_WINDOWS", 60)
