@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fertility, kneser_ney, odd_minhash, passages, piece_codec, site_quality, token_count, toxicity
+from . import (chat, decontaminate, fertility, kneser_ney, line_dedup, odd_minhash, passages, piece_codec, runs, site_quality, token_count, toxicity,
+               vantage)
 
 
 def read(spark, folder, name):
@@ -119,6 +122,75 @@ def op10_fertility(spark, folder):
     return fertility.fertility(read(spark, folder, "documents"), piece_model())
 
 
+def looped(doc_id, words):
+    """The words of one document in ten with a tail that goes round; others, and those without an id, as they are."""
+    if doc_id is None or not words:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    period = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % period] for i in range(a, n)]
+
+
+def op11_periodic_runs(spark, folder):
+    """Runs of repeated words in every document, as digests."""
+    found = runs.periodic_runs(read(spark, folder, "documents"), edit=looped)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    out = found.withColumn("best", best).withColumn("length", F.col("best.length")).withColumn("period", -F.col("best.p"))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), "length", "period",
+                      F.expr("1000 * length div period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+def op12_vantage_clusters(spark, folder):
+    """Eight clusters of the vectors, seeded by hashes of their ids."""
+    seeds = F.sha2(F.concat(F.lit("3:"), F.col("vec_id").cast("string")), 256)
+    return vantage.with_inertia(*vantage.cluster(read(spark, folder, "embeddings"), 8, seeds))
+
+
+def cluster_sql(k: int = 8, rounds: int = 10, dimensions: int = 64) -> str:
+    """The rounds one after the other, components as rows."""
+    nearest = """a{0} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r
+      FROM (SELECT vec_id, c, sum((v - m) * (v - m)) AS d FROM x JOIN m{0} USING (i) GROUP BY ALL)) WHERE r = 1)"""
+    moved = """m{1} AS MATERIALIZED (SELECT c, i, (s - ((s % n) + n) % n) // n AS m FROM (SELECT c, i, sum(v) AS s, count(*) AS n FROM a{0} JOIN x USING (vec_id) GROUP BY c, i)
+      UNION ALL SELECT c, i, m FROM m{0} WHERE c NOT IN (SELECT c FROM a{0}))"""
+    steps = [f"""flat AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS e FROM embeddings WHERE len(embedding) = {dimensions}),
+    good AS (SELECT vec_id FROM flat GROUP BY vec_id HAVING count(e) = {dimensions} AND bool_and(isfinite(e))),
+    x AS MATERIALIZED (SELECT vec_id, i, CAST(floor(1024 * CAST(e AS DOUBLE)) AS BIGINT) AS v FROM flat SEMI JOIN good USING (vec_id)),
+    seeds AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM good ORDER BY c LIMIT {k}),
+    m0 AS MATERIALIZED (SELECT c, i, v AS m FROM seeds JOIN x USING (vec_id))"""]
+    for n in range(rounds):
+        steps += [nearest.format(n), moved.format(n, n + 1)]
+    steps.append(nearest.format(rounds))
+    return f"""WITH {", ".join(steps)},
+    digests AS (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM m{rounds} GROUP BY c)
+    SELECT vec_id, CAST(c AS INT) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+      CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN digests USING (c)"""
+
+
+def op13_line_dedup(spark, folder):
+    """Documents without the lines that a later one of at least five holds too, as digests."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    left = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
+    return left.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+LINE_DEDUP_SQL = r"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, i, s[i] AS line, translate(regexp_replace(s[i], '^[ 	-
+]+|[ 	-
+]+$', '', 'g'),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM parts)),
+held AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> keeper) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR doc_id = keeper), '')) AS kept_sha256
+FROM l LEFT JOIN held USING (k) GROUP BY doc_id"""
+
+
 QUERIES = {
     "op1_substring_dedup": (op1_substring_dedup, None),
     "op3_decontaminate": (op3_decontaminate, DECONTAMINATE_SQL),
@@ -130,4 +202,7 @@ QUERIES = {
     "op8_near_dedup": (op8_near_dedup, NEAR_DEDUP_SQL),
     "op9_token_count": (op9_token_count, None),
     "op10_fertility": (op10_fertility, None),
+    "op11_periodic_runs": (op11_periodic_runs, None),
+    "op12_vantage_clusters": (op12_vantage_clusters, cluster_sql()),
+    "op13_line_dedup": (op13_line_dedup, LINE_DEDUP_SQL),
 }
