@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import identity as ident
-from ..operators import graph, memory
+from ..operators import adjacency, graph, memory
 from ..operators.ordered import next_marked, top_per_key
+from ..session import cut_lineage
 from .document_queries import table
 
 
@@ -72,6 +73,15 @@ def bfs_subgraph(spark, sf):
     return graph.hop_distances(seeds, live, 2).select("node_id", F.col("distance").cast("long").alias("distance"))
 
 
+def subgraph_edges(spark, sf):
+    """Chosen edges around every region: those with an end less than two hops away, superseded ones left out."""
+    edges, _ = _place_graph(spark, sf)
+    live = graph.active_edges(edges.withColumn("memory_id", F.col("edge_id")), edges.select(F.col("edge_id").alias("memory_id"), "status"))
+    seeds = table(spark, sf, "region").select(F.col("r_name").alias("region"), F.concat(F.lit("r"), "r_regionkey").alias("node_id"))
+    _, chosen = adjacency.subgraph(seeds, adjacency.incidence(live.select("edge_id", "source_node_id", "target_node_id")), 2, ["region"])
+    return chosen
+
+
 def bfs_subgraph_deep(spark, sf):
     """Four hops, from suppliers through parts, grouped by starting supplier nation."""
     items = table(spark, sf, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("source_node_id"), F.concat(F.lit("p"), "l_partkey").alias("target_node_id")).distinct()
@@ -90,8 +100,8 @@ def subgraph_facts(spark, sf):
         table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey"), F.concat(F.lit("Part "), "p_partkey")))
     wanted = spark.createDataFrame([(1, "supplier000000001")], "question_id int, name string")
     seeds = graph.seed_nodes(wanted, names, key=graph.tx.fold_key, by=["question_id"])
-    facts = graph.distinct_facts(edges, names, ["l_orderkey", "l_linenumber", "edge_id"])
-    nearest = graph.nearest_facts(seeds, facts, 2, 20, "question_id")
+    facts = cut_lineage(adjacency.adjacency(edges, names, ["l_orderkey", "l_linenumber", "edge_id"], 20))
+    nearest = adjacency.nearest_facts(seeds, facts, 2, 20, "question_id")
     return nearest.select(F.col("fact_rank").cast("long").alias("fact_rank"), "subject", "relation", "object",
                           F.col("hop").cast("long").alias("hop"), "n_edges")
 
@@ -105,8 +115,8 @@ def facts_per_part(spark, sf):
         table(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey"), F.concat(F.lit("Part "), "p_partkey")))
     asked = table(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("part "), "p_partkey").alias("name"))
     seeds = graph.seed_nodes(asked, names, by=["question_id"])
-    facts = graph.distinct_facts(edges, names, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    nearest = graph.nearest_facts(seeds, facts, 2, 5, "question_id")
+    facts = cut_lineage(adjacency.adjacency(edges, names, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], 5))
+    nearest = adjacency.nearest_facts(seeds, facts, 2, 5, "question_id")
     return nearest.select("question_id", F.col("fact_rank").cast("long").alias("fact_rank"), "subject", "object",
                           F.col("hop").cast("long").alias("hop"), "n_edges")
 
@@ -283,6 +293,11 @@ QUERIES = {
         a AS (SELECT node, 0 AS d FROM s UNION ALL SELECT y, 1 FROM s JOIN p ON x = node),
         b AS (SELECT node, d FROM a UNION ALL SELECT y, d + 1 FROM a JOIN p ON x = node)
         SELECT node AS node_id, CAST(min(d) AS BIGINT) AS distance FROM b GROUP BY 1"""),
+    "subgraph_edges": (subgraph_edges, "WITH " + _PLACE_SQL + """,
+        d0 AS (SELECT r_name AS region, 'r' || r_regionkey AS node, 0 AS d FROM region),
+        d1 AS (SELECT region, y AS node, 1 AS d FROM d0 JOIN p ON x = node),
+        near AS (SELECT region, node FROM d0 UNION SELECT region, node FROM d1)
+        SELECT DISTINCT region, a || '>' || b AS edge_id, a AS source_node_id, b AS target_node_id FROM near JOIN e ON a = node OR b = node"""),
     "bfs_subgraph_deep": (bfs_subgraph_deep, """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem),
         s0 AS (SELECT s_nationkey AS nation, min(s_suppkey) AS s FROM supplier GROUP BY 1),
         p1 AS (SELECT DISTINCT nation, p FROM s0 JOIN e USING (s)),
