@@ -272,6 +272,25 @@ def answer_customer_managers(spark, sf):
     return out.select("question_id", "answer_text", "state", first["evidence_id"].alias("evidence_id"), F.col("retries_used").cast("long").alias("retries_used"))
 
 
+def _quote_fact(bundles):
+    """An answerer that states the nearest fact and cites it next to the first passage."""
+    fact = F.get(F.filter("evidence", lambda e: e["kind"] == "graph_fact"), F.lit(0))
+    ids = F.array(fact["evidence_id"], F.get("evidence", F.lit(0))["evidence_id"])
+    claim = F.struct(F.lit("C1").alias("claim_id"), fact["text"].alias("text"), F.lit("GRAPH").alias("source"), F.lit("explicit").alias("kind"), ids.alias("evidence_ids"))
+    return (bundles.withColumn("claims", F.when(fact.isNotNull(), F.array(claim)).otherwise(F.array().cast(dr.CLAIMS))).withColumn("missing_items", F.array().cast(dr.MISSING))
+            .withColumn("answer_text", F.concat(fact["text"], F.lit(" [F1]."))))
+
+
+def answer_sources(spark, sf):
+    """The notes behind cited facts: who manages each customer, and how the fact reads."""
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), F.concat(
+        F.lit("Who manages "), F.format_string("Customer-%09d", "c_custkey"), F.lit("?")).alias("question"))
+    out = ask.answer_questions(asked, _manager_memory(spark, sf), answerer=_quote_fact)
+    note = F.get("sources", F.lit(0))
+    return out.select("question_id", "answer_text", "state", F.size("sources").cast("long").alias("n_sources"), note["doc_id"].alias("doc_id"),
+                      F.array_join(F.array_sort(note["evidence_ids"]), "|").alias("evidence_ids"))
+
+
 def route_fallback(spark, sf):
     """Questions by route with the document behind the answer: a graph question with facts is answered without search, one
     about an unknown name falls back to search, a vector question never meets the graph, one without text is refused."""
@@ -407,6 +426,8 @@ QUERIES = {
         r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, 'n' || doc_id) AS rn FROM s)
         SELECT b.item_id AS question_id, CASE WHEN score >= 0.25 THEN 'GRAPH_SUPPORTED' ELSE 'INSUFFICIENT' END AS state, CASE WHEN score >= 0.25 THEN 'vector' ELSE 'hybrid' END AS route_used,
           CASE WHEN score >= 0.25 THEN printf('%09d', doc_id) END AS source_doc FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND rn = 1"""),
+    "answer_sources": (answer_sources, """SELECT c_custkey AS question_id, '(' || replace(c_name, '#', '-') || ') -[managed_by]-> (' || n_name || ') [F1].' AS answer_text, 'GRAPH_SUPPORTED' AS state,
+          CAST(1 AS BIGINT) AS n_sources, CAST(c_custkey AS VARCHAR) AS doc_id, 'E1|F1' AS evidence_ids FROM customer JOIN nation ON c_nationkey = n_nationkey"""),
     "answer_customer_managers": (answer_customer_managers, """SELECT s_suppkey AS question_id,
         'From the uploaded document: "' || replace(c_name, '#', '-') || ' is managed by ' || n_name || '." [E1].' AS answer_text, 'GRAPH_SUPPORTED' AS state, 'E1' AS evidence_id, CAST(0 AS BIGINT) AS retries_used
         FROM supplier JOIN customer ON c_custkey = s_suppkey JOIN nation ON c_nationkey = n_nationkey"""),
