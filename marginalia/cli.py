@@ -42,7 +42,7 @@ def main(argv=None):
     args = parser.parse_args(argv)
     settings = Settings.from_env()
     spark = build_session(master=args.master)
-    store = Store(spark, args.store)
+    store = Store(spark, args.store, ing.PARTITIONED)
     if args.command == "ingest":
         rows = ing.ingest(spark, args.path, store, args.replace)
     elif args.command == "ask":

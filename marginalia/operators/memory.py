@@ -9,14 +9,22 @@ Arrival order is the caller's ``order`` columns (by default document, then chunk
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config
 from ..functions import identity as ident, text as tx
 from ..functions.rows import spread_array
+from ..session import broadcast_if_small, cut_lineage
 from .ordered import next_marked, running_max_before, top_per_key
 
 NOTE_ORDER = ("doc_id", "chunk_index")
+#: What identifies a row of each table.
+KEYS = {"notes": ("note_id",), "memories": ("memory_id",), "memory_sources": ("memory_id", "note_id"), "memory_entities": ("memory_id", "node_id"),
+        "nodes": ("node_id",), "surface_forms": ("node_id", "name", "entity_type"), "node_sources": ("node_id", "note_id"), "edges": ("edge_id",),
+        "edge_sources": ("edge_id", "note_id"), "events": ("note_id", "memory_id", "action"), "documents": ("doc_id",), "vector_deletes": ("note_id", "doc_id"),
+        "support": ("kind", "id"), "adjacency": ("here",), "revisions": ("memory_id", "revision")}
 
 
 # --- entities ---------------------------------------------------------------
@@ -322,27 +330,66 @@ def apply_decisions(tables: dict[str, DataFrame], decisions: DataFrame, proposal
 
 # --- delete, outbox, diff ---------------------------------------------------
 
-def delete_document(tables: dict[str, DataFrame], doc_id) -> dict[str, DataFrame]:
-    """Remove a document's notes and whatever only they supported.
+#: Link tables that hold a memory, an edge or a node, and the column of what they hold.
+_SUPPORT = {"memory": ("memory_sources", "memory_id"), "edge": ("edge_sources", "edge_id"), "node": ("node_sources", "node_id")}
+
+
+def support_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """``(kind, id, n_sources)``: notes behind every memory, edge and node, from the link tables in one aggregate."""
+    held = [tables[name].select(F.lit(kind).alias("kind"), F.col(key).alias("id")) for kind, (name, key) in _SUPPORT.items() if name in tables]
+    return reduce(DataFrame.unionByName, held).groupBy("kind", "id").agg(F.count("*").alias("n_sources"))
+
+
+def deletions(tables: dict[str, DataFrame], doc_id) -> dict[str, DataFrame]:
+    """Rows that leave each table with a document: its notes, their links, and what no other note supports.
 
-    Works on link tables, so shrinking a source list is an anti join and "no sources
-    left" is a semi join.  ``doc_id`` is one id or a DataFrame of ids.
+    ``doc_id`` is one id or a DataFrame of ids.  ``tables["support"]`` (see ``support_counts``) is lowered by one signed
+    aggregate of the removed links; what falls to nothing goes, and with a memory its edges.  Without that table the
+    counts are taken from the links.  The result also has ``support``: the lowered counts of what stays.
     """
     notes = tables["notes"]
-    gone = (notes.join(doc_id.select("doc_id").distinct(), "doc_id", "left_semi") if isinstance(doc_id, DataFrame)
-            else notes.filter(F.col("doc_id") == doc_id)).select("note_id")
-    out = dict(tables)
-    for name in ("notes", "memory_sources", "edge_sources", "node_sources", "events"):
+    gone_notes = (notes.join(doc_id.select("doc_id").distinct(), "doc_id", "left_semi") if isinstance(doc_id, DataFrame)
+                  else notes.filter(F.col("doc_id") == doc_id))
+    out = {"notes": cut_lineage(gone_notes)}
+    note_ids = broadcast_if_small(out["notes"].select("note_id"), 100)
+    for name in ("memory_sources", "edge_sources", "node_sources", "events"):
         if name in tables:
-            out[name] = tables[name].join(gone, "note_id", "left_anti")
-    out["memories"] = tables["memories"].join(out["memory_sources"], "memory_id", "left_semi")
-    out["nodes"] = tables["nodes"].join(out["node_sources"], "node_id", "left_semi")
-    out["edges"] = (tables["edges"].join(out["edge_sources"], "edge_id", "left_semi")
-                    .join(out["memories"], "memory_id", "left_semi"))
-    out["edge_sources"] = out["edge_sources"].join(out["edges"], "edge_id", "left_semi")
+            out[name] = tables[name].join(note_ids, "note_id", "left_semi")
+    removed = support_counts({name: out[name] for name, _ in _SUPPORT.values() if name in out}).withColumnRenamed("n_sources", "n_removed")
+    support = tables["support"] if "support" in tables else support_counts(tables)
+    judged = cut_lineage(support.join(broadcast_if_small(cut_lineage(removed), 150), ["kind", "id"]).select(
+        "kind", "id", (F.col("n_sources") - F.col("n_removed")).alias("n_sources")))
+
+    def dead(kind, key):
+        return broadcast_if_small(judged.filter((F.col("kind") == kind) & (F.col("n_sources") <= 0)).select(F.col("id").alias(key)), 100)
+    out["memories"] = tables["memories"].join(dead("memory", "memory_id"), "memory_id", "left_semi")
+    out["nodes"] = tables["nodes"].join(dead("node", "node_id"), "node_id", "left_semi")
+    edges = (tables["edges"].join(dead("edge", "edge_id").withColumn("_e", F.lit(True)), "edge_id", "left")
+             .join(dead("memory", "memory_id").withColumn("_m", F.lit(True)), "memory_id", "left"))
+    out["edges"] = cut_lineage(edges.filter("_e or _m").select(*tables["edges"].columns))
+    out["edge_sources"] = tables["edge_sources"].join(note_ids.withColumn("_n", F.lit(True)), "note_id", "left").join(
+        broadcast_if_small(out["edges"].select("edge_id"), 100).withColumn("_e", F.lit(True)), "edge_id", "left").filter("_n or _e").select(*tables["edge_sources"].columns)
     if "memory_entities" in tables:
-        out["memory_entities"] = (tables["memory_entities"].join(out["memories"], "memory_id", "left_semi")
-                                  .join(out["nodes"], "node_id", "left_semi"))
+        out["memory_entities"] = (tables["memory_entities"].join(dead("memory", "memory_id").withColumn("_m", F.lit(True)), "memory_id", "left")
+                                  .join(dead("node", "node_id").withColumn("_n", F.lit(True)), "node_id", "left").filter("_m or _n")
+                                  .select(*tables["memory_entities"].columns))
+    if "surface_forms" in tables:
+        out["surface_forms"] = tables["surface_forms"].join(dead("node", "node_id"), "node_id", "left_semi")
+    out["support"] = judged
+    return out
+
+
+def delete_document(tables: dict[str, DataFrame], doc_id) -> dict[str, DataFrame]:
+    """The tables without a document's notes and whatever only they supported."""
+    gone = deletions(tables, doc_id)
+    out = dict(tables)
+    for name, rows in gone.items():
+        if name == "support" or name not in tables:
+            continue
+        key = KEYS.get(name) or tables[name].columns
+        out[name] = tables[name].join(broadcast_if_small(rows.select(*key), 200), list(key), "left_anti")
+    if "support" in tables:
+        out["support"] = tables["support"].join(gone["support"].select("kind", "id"), ["kind", "id"], "left_anti").unionByName(gone["support"].filter("n_sources > 0"))
     return out
 
 

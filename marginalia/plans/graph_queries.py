@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import identity as ident
@@ -235,12 +237,14 @@ def delete_document_cascade(spark, sf):
               "edges": items.select(F.col("memory_id").alias("edge_id"), "memory_id").distinct(), "node_sources": ends.select("node_id", "note_id"),
               "nodes": ends.select("node_id").distinct(), "memory_entities": ends.select("memory_id", "node_id").distinct()}
     gone = table(spark, sf, "orders").filter(F.col("o_orderstatus") != "O").select(F.col("o_orderkey").alias("doc_id"))
-    left = memory.delete_document(tables, gone)
-    counts = None
-    for name, df in left.items():
-        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    # counts kept at commit, here made once; what leaves is taken from what was there
+    tables["support"] = cut_lineage(memory.support_counts(tables))
+    gone_rows = memory.deletions(tables, gone)
+
+    def counted(frames, sign):
+        one = [df.select(F.lit(name).alias("table_name"), F.lit(sign).alias("n")) for name, df in frames.items() if name != "support"]
+        return reduce(lambda a, b: a.unionByName(b), one)
+    return counted(tables, 1).unionByName(counted(gone_rows, -1)).groupBy("table_name").agg(F.sum("n").alias("n_rows"))
 
 
 def projection_delta(spark, sf):

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .. import config
 from ..functions import identity as ident, text as tx
 from ..functions.rows import spread_array
-from ..operators import chunking, cleaning, extraction, memory, tables as tb
+from ..operators import adjacency, chunking, cleaning, extraction, graph, memory, tables as tb
 from ..sources import files as fl
-from ..session import cut_lineage
-from ..sources.store import Store
+from ..session import broadcast_if_small, cut_lineage
+from ..sources.store import Change, Store
 from .ask import Memory
 
 _EMPTY = {
@@ -31,7 +31,10 @@ _EMPTY = {
     "events": "note_id string, memory_id string, action string, reason string",
     "documents": "doc_id string, content_hash string, status string, cleanup_pending boolean",
     "vector_deletes": "note_id string, doc_id string",
+    "support": "kind string, id string, n_sources long",
 }
+#: Tables that are read by bucket: the store parts their files by that column.
+PARTITIONED = {"adjacency": "bucket"}
 
 
 def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
@@ -68,7 +71,7 @@ def chunk_files(documents: DataFrame, describe=None) -> DataFrame:
 
 
 def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, DataFrame]:
-    """Fold valid, informative notes into the tables; known notes are left out."""
+    """Rows that valid, informative notes add to the tables; known notes are left out."""
     fresh = notes.join(current["notes"].select("note_id"), "note_id", "left_anti")
     # of repeated notes the first by document and chunk stays
     firsts = fresh.groupBy("note_id").agg(F.min(F.struct(*memory.NOTE_ORDER)).alias("_first"))
@@ -110,14 +113,65 @@ def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, Data
         "edges": edge_rows.drop("note_id").distinct(), "edge_sources": edge_rows.select("edge_id", "note_id").distinct(),
         "events": outcome.select("note_id", "memory_id", "action", "reason"),
     }
-    out = dict(current)
-    for name, rows in added.items():
-        columns = current[name].columns
-        both = current[name].unionByName(rows.select(*columns))
-        out[name] = both if name in ("notes", "memories", "events") else both.distinct()
+    # what is there already by its key is not added again
+    for name in ("memory_entities", "nodes", "surface_forms", "node_sources", "edges", "edge_sources", "memory_sources"):
+        rows, key = added[name].dropDuplicates(list(memory.KEYS[name])), list(memory.KEYS[name])
+        added[name] = cut_lineage(rows.select(*current[name].columns).join(current[name].select(*key), key, "left_anti"))
+    return {name: rows.select(*current[name].columns) for name, rows in added.items()}
+
+
+def neighbourhoods(edges: DataFrame, memories: DataFrame, nodes: DataFrame, touched: DataFrame) -> DataFrame:
+    """Adjacency of the ``touched`` nodes (``here``), from the active edges at them."""
+    few = broadcast_if_small(touched, 100)
+    near = (edges.join(few.select(F.col("here").alias("source_node_id"), F.lit(True).alias("_s")), "source_node_id", "left")
+            .join(few.select(F.col("here").alias("target_node_id"), F.lit(True).alias("_t")), "target_node_id", "left").filter("_s or _t"))
+    near = cut_lineage(graph.active_edges(near.select(*edges.columns), memories))
+    ends = near.select(F.col("source_node_id").alias("node_id")).union(near.select("target_node_id")).distinct()
+    names = nodes.select("node_id", "name").join(broadcast_if_small(ends, 100), "node_id", "left_semi")
+    return adjacency.adjacency(near, names, ["edge_id"]).join(few, "here", "left_semi")
+
+
+def changes_of(current: dict[str, DataFrame], added: dict[str, DataFrame], gone: dict[str, DataFrame]) -> dict[str, Change]:
+    """What a commit writes: rows put in and keys taken out of each table, support counts and neighbourhoods that moved."""
+    out = {}
+    for name in {*added, *gone} - {"support"}:
+        key = memory.KEYS[name]
+        out[name] = Change(key, added.get(name), gone[name].select(*key) if name in gone else None)
+    # support: what the deletions left, raised by the new links
+    raised = memory.support_counts(added).withColumnRenamed("n_sources", "n_added")
+    ids = [raised.select("kind", "id")]
+    before = current["support"]
+    if gone:
+        lowered = gone["support"].withColumnRenamed("n_sources", "n_left")
+        before = before.join(broadcast_if_small(lowered, 150), ["kind", "id"], "left").select("kind", "id", F.coalesce("n_left", "n_sources").alias("n_sources"))
+        ids.append(gone["support"].select("kind", "id"))
+    moved = cut_lineage(reduce(DataFrame.unionByName, ids).distinct())
+    held = before.join(broadcast_if_small(moved, 150), ["kind", "id"], "left_semi")
+    counts = moved.join(held, ["kind", "id"], "left").join(raised, ["kind", "id"], "left").select(
+        "kind", "id", (F.coalesce("n_sources", F.lit(0)) + F.coalesce("n_added", F.lit(0))).alias("n_sources"))
+    out["support"] = Change(memory.KEYS["support"], counts.filter("n_sources > 0"), moved)
+    # neighbourhoods: the ends of edges that came or went, or whose memory changed its state
+    edges = current["edges"]
+    if gone:
+        edges = edges.join(broadcast_if_small(gone["edges"].select("edge_id"), 100), "edge_id", "left_anti")
+    edges = edges.unionByName(added["edges"])
+    memories = replaced(current["memories"], added["memories"], gone.get("memories"), "memory_id")
+    nodes = current["nodes"].unionByName(added["nodes"]).dropDuplicates(["node_id"])
+    restated = current["memories"].select("memory_id", F.col("status").alias("_was")).join(
+        broadcast_if_small(added["memories"].select("memory_id", "status"), 150), "memory_id").filter("_was <> status").select("memory_id")
+    changed = [added["edges"], current["edges"].join(broadcast_if_small(cut_lineage(restated), 100), "memory_id", "left_semi"), *([gone["edges"]] if gone else [])]
+    ends = reduce(DataFrame.union, [e.select(c) for e in changed for c in ("source_node_id", "target_node_id")])
+    touched = cut_lineage(ends.toDF("here").distinct())
+    out["adjacency"] = Change(memory.KEYS["adjacency"], cut_lineage(neighbourhoods(edges, memories, nodes, touched)), touched)
     return out
 
 
+def replaced(table: DataFrame, rows: DataFrame, gone: DataFrame | None, key: str) -> DataFrame:
+    """``table`` with ``rows`` in place of those of the same key and without the ``gone`` ones."""
+    out = rows.select(key) if gone is None else rows.select(key).union(gone.select(key))
+    return table.join(broadcast_if_small(out.distinct(), 100), key, "left_anti").unionByName(rows)
+
+
 def ingest(spark: SparkSession, paths, store: Store, replace: bool = False, extract=extraction.rule_notes, describe=None) -> DataFrame:
     """Ingest files in one commit and return one report row per file.
 
@@ -166,17 +220,21 @@ def ingest(spark: SparkSession, paths, store: Store, replace: bool = False, extr
     report = cut_lineage(report.withColumn("stored", stored).withColumn("problem", problem).withColumn("status", status))
     kept_docs = report.filter("stored")
     if kept_docs.take(1):
-        gone = kept_docs.filter("_verdict = 'replacement'").select("doc_id")
-        cleared = memory.delete_document(current, gone)
-        cleared["vector_deletes"] = current["vector_deletes"].unionByName(
-            current["notes"].join(gone, "doc_id", "left_semi").select("note_id", "doc_id")).distinct()
-        cleared["surface_forms"] = current["surface_forms"].join(cleared["nodes"].select("node_id"), "node_id", "left_semi")
+        replacing = kept_docs.filter("_verdict = 'replacement'").select("doc_id")
+        gone, cleared = {}, current
+        if replacing.take(1):
+            gone = memory.deletions(current, replacing)
+            cleared = {**current, **{name: current[name].join(broadcast_if_small(rows.select(*memory.KEYS[name]), 200), list(memory.KEYS[name]), "left_anti")
+                                     for name, rows in gone.items() if name != "support"}}
         good = notes.filter("_error is null and is_informative").join(kept_docs.select("doc_id"), "doc_id", "left_semi")
-        tables = integrate(cleared, good)
+        changes = changes_of(current, integrate(cleared, good), gone)
+        if gone:
+            changes["vector_deletes"] = Change(memory.KEYS["vector_deletes"], gone["notes"].select("note_id", "doc_id"))
         entries = kept_docs.select("doc_id", "content_hash", F.when(F.col("n_errors") > 0, "partial").otherwise("complete").alias("status"),
                                    (F.col("_verdict") == "replacement").alias("cleanup_pending"))
-        tables["documents"] = current["documents"].join(entries.select("doc_id"), "doc_id", "left_anti").unionByName(entries)
-        store.commit(tables, base)
+        changes["documents"] = Change(memory.KEYS["documents"], entries)
+        store.commit(changes, base)
+        store.compact()
     return report.select("doc_id", "content_hash", "status", F.col("problem").alias("error"), "chunks_total", "notes_informative", "notes_skipped")
 
 
@@ -210,10 +268,16 @@ def flush_outbox(store: Store, write, delete=None) -> DataFrame:
     ready = cut_lineage(memory.vector_upserts(notes, deletes, stuck))
     unsent = _delivered(write, memory.vector_records(ready), "writing vectors")
     after, left = memory.acknowledge(notes, deletes, stuck, ready, unsent)
+    # only notes and documents that were part of this delivery are written
+    sent = broadcast_if_small(cut_lineage(ready.select("note_id").union(doomed.select("note_id")).distinct()), 100)
+    emptied = broadcast_if_small(deletes.select("doc_id").distinct(), 100)
     waiting = left.select("doc_id").distinct().withColumn("_waits", F.lit(True))
-    documents = (tables["documents"].join(waiting, "doc_id", "left").withColumn("cleanup_pending", F.coalesce("_waits", F.lit(False)))
-                 .select(*tables["documents"].columns))
-    store.commit({**tables, "notes": after, "vector_deletes": left, "documents": documents}, base)
+    documents = (tables["documents"].join(emptied, "doc_id", "left_semi").join(waiting, "doc_id", "left")
+                 .withColumn("cleanup_pending", F.coalesce("_waits", F.lit(False))).select(*tables["documents"].columns))
+    acted = {"notes": Change(memory.KEYS["notes"], after.join(sent, "note_id", "left_semi")), "documents": Change(memory.KEYS["documents"], documents),
+             "vector_deletes": Change(memory.KEYS["vector_deletes"], left, deletes)}
+    store.commit(acted, base)
+    store.compact()
     return memory.outbox_counts(store.tables()["notes"], store.tables()["documents"])
 
 
@@ -221,4 +285,4 @@ def memory_of(store: Store) -> Memory:
     """The committed tables as the input of ``ask.answer_questions``."""
     t = store.tables()
     return Memory(notes=t["notes"], memories=t["memories"], nodes=t["nodes"].select("node_id", "name"),
-                  surface_forms=t["surface_forms"].select("node_id", "name"), edges=t["edges"], edge_sources=t["edge_sources"])
+                  surface_forms=t["surface_forms"].select("node_id", "name"), edges=t["edges"], edge_sources=t["edge_sources"], adjacency=t["adjacency"])
