@@ -24,7 +24,7 @@ NOTE_ORDER = ("doc_id", "chunk_index")
 KEYS = {"notes": ("note_id",), "memories": ("memory_id",), "memory_sources": ("memory_id", "note_id"), "memory_entities": ("memory_id", "node_id"),
         "nodes": ("node_id",), "surface_forms": ("node_id", "name", "entity_type"), "node_sources": ("node_id", "note_id"), "edges": ("edge_id",),
         "edge_sources": ("edge_id", "note_id"), "events": ("note_id", "memory_id", "action"), "documents": ("doc_id",), "vector_deletes": ("note_id", "doc_id"),
-        "support": ("kind", "id"), "adjacency": ("here",), "revisions": ("memory_id", "revision")}
+        "support": ("kind", "id"), "adjacency": ("here",), "revisions": ("memory_id", "note_id")}
 
 
 # --- entities ---------------------------------------------------------------
@@ -233,101 +233,18 @@ def blocked_reason(action, has_facts, single_valued, after_targets, after_suppor
         action.isin("merge", "retire") & differs, "Consolidation blocked: facts differ")
 
 
-def _fact_keys(signature) -> Column:
+def fact_keys(signature) -> Column:
     """Sorted distinct subject-and-predicate part of a fact signature."""
     facts = F.filter(F.split(signature, "\x1e"), lambda f: f != "")
     return F.array_join(F.array_sort(F.array_distinct(F.transform(
         facts, lambda f: F.substring_index(f, "\x1f", 2)))), "\x1e")
 
 
-def _single_valued(signature, exclusive) -> Column:
+def single_valued(signature, exclusive) -> Column:
     facts = F.filter(F.split(signature, "\x1e"), lambda f: f != "")
     return F.forall(facts, lambda f: F.get(F.split(f, "\x1f"), F.lit(1)).isin(*exclusive))
 
 
-def decide(notes: DataFrame, proposals: DataFrame, memories: DataFrame, support: DataFrame, order=NOTE_ORDER,
-           exclusive=config.EXCLUSIVE_RELATIONS) -> DataFrame:
-    """Judge proposals of an injected model against the stored memories.
-
-    notes      note_id, content, fact_signature, event_time, *order
-    proposals  note_id, action, target_id (null without target), position, reason
-    support    memory_id, last_time, all_timed: event times of the facts behind a memory
-
-    One row per note: ``action`` after the guards, ``proposed``, ``reason``,
-    ``memory_id`` (the note's memory) and ``canonical`` (first target).  A proposal
-    naming an unknown, inactive or just closed target, or none where one is needed, is
-    ``rejected``; so is an unknown action.
-    """
-    live = memories.filter(F.col("status") == "active").select(
-        F.col("memory_id").alias("target_id"), F.col("content").alias("_text"), F.col("fact_signature").alias("_facts"),
-        F.col("event_time").alias("_time"))
-    rows = (proposals.dropDuplicates(["note_id", "target_id"]).join(notes, "note_id").join(live, "target_id", "left")
-            .join(support.withColumnRenamed("memory_id", "target_id"), "target_id", "left"))
-    when = F.col("event_time")
-    targeted = F.col("target_id").isNotNull()
-    per_note = rows.groupBy("note_id").agg(
-        F.first("action").alias("proposed"), F.first("reason").alias("_said"), F.first("fact_signature").alias("_sig"),
-        F.count_if(targeted).alias("_n"), F.count_if(targeted & F.col("_text").isNull()).alias("_unknown"),
-        F.first(F.struct(*order, "note_id")).alias("_at"),
-        F.bool_and(F.coalesce(when > F.col("_time"), F.lit(False))).alias("_after"),
-        F.bool_and(F.coalesce(F.col("all_timed") & (when > F.col("last_time")), F.lit(False))).alias("_after_support"),
-        F.bool_and(F.coalesce(_fact_keys("fact_signature") == _fact_keys("_facts"), F.lit(False))).alias("_keys"),
-        F.bool_and(F.coalesce(F.col("fact_signature") == F.col("_facts"), F.lit(False))).alias("_same"),
-        F.bool_and(F.coalesce(F.col("content") == F.col("_text"), F.lit(False))).alias("_texts"),
-        F.min_by("target_id", F.when(targeted, F.col("position"))).alias("canonical"))
-    action = F.col("proposed")
-    needs = action.isin("merge", "update", "retire")
-    broken = (~action.isin("add", "merge", "update", "retain", "retire") | (F.col("_unknown") > 0) | (needs & (F.col("_n") == 0)))
-    blocked = blocked_reason(action, F.col("_sig") != "", _single_valued("_sig", exclusive), F.col("_after"), F.col("_after_support"),
-                             F.col("_keys"), F.col("_same"), F.col("_texts"))
-    judged = per_note.withColumn("_broken", F.coalesce(broken, F.lit(True))).withColumn("_blocked", blocked)
-    # within a batch the first accepted decision that closes a memory makes it unavailable to later notes
-    aimed = judged.join(proposals.select("note_id", "target_id").filter("target_id is not null").distinct(), "note_id")
-    closing = needs & ~F.col("_broken") & F.col("_blocked").isNull() & (
-        (action != "merge") | (F.col("target_id") != F.col("canonical")))
-    closed = aimed.filter(closing).groupBy("target_id").agg(F.min("_at").alias("_closed"))
-    late = aimed.join(closed, "target_id").filter(F.col("_closed") < F.col("_at")).select("note_id", F.lit(True).alias("_late")).distinct()
-    judged = judged.join(late, "note_id", "left")
-    rejected = F.col("_broken") | F.coalesce("_late", F.lit(False))
-    judged = judged.withColumn("action", F.when(rejected, "rejected").when(F.col("_blocked").isNotNull(), "add").otherwise(action))
-    judged = judged.withColumn("reason", F.when(F.col("action") == "rejected", "Unknown target memory").otherwise(
-        F.coalesce("_blocked", "_said")))
-    return judged.withColumn("memory_id", F.when(F.col("action") == "merge", F.col("canonical")).when(
-        F.col("action") != "rejected", ident.memory_id("note_id"))).select(
-            "note_id", "action", "proposed", "reason", "memory_id", "canonical")
-
-
-def apply_decisions(tables: dict[str, DataFrame], decisions: DataFrame, proposals: DataFrame) -> dict[str, DataFrame]:
-    """Effects of accepted decisions on existing memories and their notes.
-
-    Superseded and retired memories stay as history (a copy goes to ``revisions``);
-    the notes of a retired one move to the memory that replaces it, those of a
-    superseded one leave the vector index.
-    """
-    hits = (decisions.filter("action in ('merge', 'update', 'retire')")
-            .join(proposals.select("note_id", "target_id").distinct(), "note_id")
-            .filter((F.col("action") != "merge") | (F.col("target_id") != F.col("canonical"))))
-    changes = hits.select(F.col("target_id").alias("memory_id"), F.col("memory_id").alias("_by"),
-                          F.when(F.col("action") == "update", "superseded").otherwise("retired").alias("_status"))
-    touched = changes.select("memory_id").union(decisions.filter("action = 'merge'").select("canonical")).distinct()
-    out = dict(tables)
-    revised = tables["memories"].join(touched, "memory_id", "left_semi")
-    out["revisions"] = tables["revisions"].unionByName(revised) if "revisions" in tables else revised
-    out["memories"] = tables["memories"].join(changes, "memory_id", "left").withColumn(
-        "status", F.coalesce("_status", "status")).withColumn("replacement_id", F.coalesce("_by", "replacement_id")).drop("_by", "_status")
-    moved = changes.filter("_status = 'retired'").select("memory_id", "_by")
-    out["memory_sources"] = tables["memory_sources"].join(moved, "memory_id", "left").select(
-        F.coalesce("_by", "memory_id").alias("memory_id"), "note_id").distinct()
-    flagged = tables["notes"].join(changes, "memory_id", "left")
-    gone = F.col("_status") == "superseded"
-    out["notes"] = (flagged.withColumn("vector_delete_pending", F.when(gone, F.lit(True)).otherwise(F.col("vector_delete_pending")))
-                    .withColumn("vector_pending", F.when(gone, F.lit(False)).when(F.col("_status") == "retired", F.lit(True))
-                                .otherwise(F.col("vector_pending")))
-                    .withColumn("memory_id", F.when(F.col("_status") == "retired", F.col("_by")).otherwise(F.col("memory_id")))
-                    .drop("_by", "_status").select(*tables["notes"].columns))
-    return out
-
-
 # --- delete, outbox, diff ---------------------------------------------------
 
 #: Link tables that hold a memory, an edge or a node, and the column of what they hold.

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from ..functions import identity as ident
-from ..operators import adjacency, graph, memory
+from ..operators import adjacency, evolution, graph, memory
 from ..operators.ordered import next_marked, top_per_key
 from ..session import cut_lineage
 from .document_queries import table
@@ -227,6 +227,35 @@ def blocked_updates(spark, sf):
     return orders.select("o_orderkey", F.coalesce(reason, F.lit("")).alias("reason"))
 
 
+def evolution_batch(spark, sf):
+    """Orders arrive one after the other and propose what becomes of their customer's memory: decisions, and the memories
+    after them with the number of their sources."""
+    c, k = F.col("c_custkey"), F.col("o_orderkey")
+    sep, day = F.lit("\x1f"), F.lit("1995-01-01").cast("timestamp")
+    memories = table(spark, sf, "customer").select(
+        F.concat(F.lit("m"), c).alias("memory_id"), F.lit("kept").alias("content"), F.concat(c.cast("string"), sep, F.lit("managed_by"), sep, F.lit("a")).alias("fact_signature"),
+        day.alias("event_time"), F.when(c % 7 == 0, "superseded").otherwise("active").alias("status"), F.lit(None).cast("string").alias("replacement_id"))
+    orders = table(spark, sf, "orders")
+    act = k % 9
+    # update, equal merge, retain, add, equal retirement, merge of other facts, update of another predicate, unknown target, update of another subject
+    fact = (F.when(act == 6, F.concat_ws("\x1f", F.col("o_custkey"), F.lit("likes"), F.lit("a"))).when(act == 8, F.concat_ws("\x1f", F.lit("x"), F.lit("led_by"), F.lit("a")))
+            .when(act.isin(0, 5), F.concat_ws("\x1f", F.col("o_custkey"), F.lit("managed_by"), F.lit("b"))).otherwise(F.concat_ws("\x1f", F.col("o_custkey"), F.lit("managed_by"), F.lit("a"))))
+    notes = orders.select(F.concat(F.lit("n"), k).alias("note_id"), F.lit("told").alias("content"), fact.alias("fact_signature"), F.col("o_orderdate").cast("timestamp").alias("event_time"),
+                          F.format_string("%012d", "o_orderkey").alias("doc_id"), F.lit(0).alias("chunk_index"))
+    action = F.element_at(F.array(*map(F.lit, ("update", "merge", "retain", "add", "retire", "merge", "update", "retain", "update"))), (act + 1).cast("int"))
+    target = F.when(act == 7, F.lit("m-1")).when(act != 3, F.concat(F.lit("m"), "o_custkey"))
+    proposals = orders.select(F.concat(F.lit("n"), k).alias("note_id"), action.alias("action"), target.alias("target_id"), F.lit(0).alias("position"), F.lit("as proposed").alias("reason"))
+    support = memories.select("memory_id", F.col("event_time").alias("last_time"), F.lit(True).alias("all_timed"))
+    decided = cut_lineage(evolution.decide(notes, proposals, memories, support))
+    merged = decided.filter("action = 'merge'").select("memory_id", "note_id")
+    sources = memories.select("memory_id", F.concat(F.lit("s"), "memory_id").alias("note_id")).unionByName(merged)
+    held = sources.select("note_id", "memory_id", F.lit(False).alias("vector_pending"), F.lit(False).alias("vector_delete_pending"))
+    after = evolution.apply_decisions({"memories": memories, "memory_sources": sources, "notes": held}, decided, proposals)
+    counts = after["memory_sources"].groupBy("memory_id").agg(F.count("*").alias("n"))
+    states = after["memories"].join(counts, "memory_id", "left").select(F.col("memory_id").alias("id"), F.col("status").alias("outcome"), F.coalesce("n", F.lit(0)).cast("string").alias("why"))
+    return decided.select(F.col("note_id").alias("id"), F.col("action").alias("outcome"), F.col("reason").alias("why")).unionByName(states)
+
+
 def delete_document_cascade(spark, sf):
     items = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("doc_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("note_id"),
@@ -349,6 +378,22 @@ QUERIES = {
           WHEN o_orderpriority = '5-LOW' OR o_custkey % 3 < 2 THEN 'Update blocked: explicit later event time required'
           WHEN o_orderstatus = 'F' THEN 'Update blocked: different fact subjects or predicates' ELSE '' END
         WHEN o_orderstatus <> 'O' THEN 'Consolidation blocked: facts differ' ELSE '' END AS reason FROM orders"""),
+    "evolution_batch": (evolution_batch, """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, o_orderkey % 9 AS act, o_custkey % 7 <> 0 AS live,
+          max(CASE WHEN o_orderkey % 9 = 1 THEN o_orderdate END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS merged FROM orders),
+        g AS (SELECT *, CASE WHEN act IN (6) THEN 'Update blocked: predicate is not configured as single-valued'
+            WHEN act IN (0, 8) AND d <= DATE '1995-01-01' THEN 'Update blocked: explicit later event time required'
+            WHEN act = 8 THEN 'Update blocked: different fact subjects or predicates'
+            WHEN act = 0 AND d <= merged THEN 'Update blocked: every supported target fact must be earlier'
+            WHEN act = 5 THEN 'Consolidation blocked: facts differ' END AS stop FROM o),
+        f AS (SELECT c, min(k) AS k, min_by(act, k) AS act FROM g WHERE live AND act IN (0, 4) AND stop IS NULL GROUP BY c),
+        j AS (SELECT g.*, act = 7 OR (act <> 3 AND (NOT live OR (f.k IS NOT NULL AND g.k > f.k))) AS bad FROM g LEFT JOIN (SELECT c, k FROM f) f USING (c)),
+        r AS (SELECT k, c, CASE WHEN bad THEN 'rejected' WHEN stop IS NOT NULL THEN 'add'
+            ELSE ['update', 'merge', 'retain', 'add', 'retire', 'merge', 'update', 'retain', 'update'][act + 1] END AS outcome,
+            CASE WHEN bad THEN 'Unknown target memory' ELSE coalesce(stop, 'as proposed') END AS why FROM j)
+        SELECT 'n' || k AS id, outcome, why FROM r
+        UNION ALL SELECT 'm' || c_custkey, CASE WHEN c_custkey % 7 = 0 OR f.act = 0 THEN 'superseded' WHEN f.act = 4 THEN 'retired' ELSE 'active' END,
+          CASE WHEN f.act = 4 THEN '0' ELSE CAST(1 + (SELECT count(*) FROM r WHERE r.c = c_custkey AND outcome = 'merge') AS VARCHAR) END
+        FROM customer LEFT JOIN f ON f.c = c_custkey"""),
     "delete_document_cascade": (delete_document_cascade, """WITH k AS (SELECT l.* FROM lineitem l WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'O')),
         p AS (SELECT DISTINCT l_suppkey, l_partkey FROM k)
         SELECT 'notes' AS table_name, count(*) AS n_rows FROM k UNION ALL SELECT 'memory_sources', count(*) FROM k UNION ALL SELECT 'edge_sources', count(*) FROM k

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .. import config
 from ..functions import identity as ident, text as tx
 from ..functions.rows import spread_array
-from ..operators import adjacency, chunking, cleaning, extraction, graph, memory, tables as tb
+from ..operators import adjacency, chunking, cleaning, evolution, extraction, graph, memory, tables as tb
 from ..sources import files as fl
 from ..session import broadcast_if_small, cut_lineage
 from ..sources.store import Change, Store
@@ -21,14 +21,15 @@ _EMPTY = {
              "section string, page int, content_type string, source_type string, source_filename string, source_time string, "
              "keywords array<string>, tags array<string>, memory_id string, vector_pending boolean, vector_delete_pending boolean",
     "memories": "memory_id string, content string, context string, fact_signature string, event_time timestamp, status string, replacement_id string",
-    "memory_sources": "memory_id string, note_id string",
+    "memory_sources": "memory_id string, note_id string, last_time timestamp, all_timed boolean",
     "memory_entities": "memory_id string, node_id string",
     "nodes": "node_id string, name string, entity_type string",
     "surface_forms": "node_id string, name string, entity_type string",
     "node_sources": "node_id string, note_id string",
     "edges": "edge_id string, source_node_id string, target_node_id string, relation_type string, memory_id string",
     "edge_sources": "edge_id string, note_id string",
-    "events": "note_id string, memory_id string, action string, reason string",
+    "events": "note_id string, memory_id string, action string, reason string, proposed string, recorded_at timestamp",
+    "revisions": "memory_id string, content string, context string, fact_signature string, event_time timestamp, status string, replacement_id string, note_id string",
     "documents": "doc_id string, content_hash string, status string, cleanup_pending boolean",
     "vector_deletes": "note_id string, doc_id string",
     "support": "kind string, id string, n_sources long",
@@ -41,6 +42,16 @@ def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {name: spark.createDataFrame([], schema) for name, schema in _EMPTY.items()}
 
 
+def stored_tables(store: Store) -> dict[str, DataFrame]:
+    """The committed tables, empty where absent, with all columns of today's form (null where a store is older)."""
+    out = empty_tables(store.spark)
+    for name, held in store.tables().items():
+        out[name] = held if name not in out else held.select(
+            *[F.col(f.name) if f.name in held.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in out[name].schema], *[
+                c for c in held.columns if c not in out[name].columns])
+    return out
+
+
 def chunk_files(documents: DataFrame, describe=None) -> DataFrame:
     """Chunks of parsed documents: text, then tables, then figures, numbered per document."""
     pages = spread_array(documents, ["doc_id", "suffix"], "pages", "text", "_at").select(
@@ -70,8 +81,50 @@ def chunk_files(documents: DataFrame, describe=None) -> DataFrame:
         kind.alias("content_type"), "page", "section", "is_numeric_table", F.lit(False).alias("is_ocr"))
 
 
-def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, DataFrame]:
-    """Rows that valid, informative notes add to the tables; known notes are left out."""
+def judge(current: dict[str, DataFrame], ready: DataFrame, named: DataFrame, outcome: DataFrame, propose) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(outcome, decisions, proposals)`` with what ``propose`` says about notes that share an entity with a stored memory.
+
+    ``outcome`` is what identical texts give.  A note without an identical text is shown to ``propose`` with its candidates, the
+    stored memories that share most of its entities; merges with stored memories of the same text are judged with them, in
+    arrival order.  A note that would merge into a memory which an earlier one has closed stands for itself instead, and so do
+    the copies of a note whose proposal was rejected; copies of a note that was merged go where it went.
+    """
+    order = list(memory.NOTE_ORDER)
+    active = current["memories"].filter("status = 'active'")
+    leads = outcome.filter("action = 'add' and reason = 'Preserve distinct evidence'").select("note_id")
+    items = named.groupBy("note_id").agg(F.collect_set("node_id").alias("items"))
+    links = current["memory_entities"].join(broadcast_if_small(cut_lineage(named.select("node_id").distinct()), 100), "node_id", "left_semi")
+    held = links.groupBy("memory_id").agg(F.collect_set("node_id").alias("items"))
+    wanted = ready.join(leads, "note_id", "left_semi").join(items, "note_id").select("note_id", "items")
+    near = cut_lineage(memory.candidate_memories(wanted, active.select("memory_id", "status").join(held, "memory_id")))
+    told = active.select("memory_id", "content", "context", "fact_signature", "event_time").join(broadcast_if_small(near, 200), "memory_id")
+    shown = told.groupBy("note_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.struct(
+        "memory_id", "content", "context", "fact_signature", "event_time").alias("m")))), lambda x: x["m"]).alias("candidates"))
+    said = cut_lineage(propose(ready.select("note_id", "content").join(shown, "note_id")))
+    exact = outcome.filter("action = 'merge'").join(active.select("memory_id"), "memory_id", "left_semi").select(
+        "note_id", F.lit("merge").alias("action"), F.col("memory_id").alias("target_id"), F.lit(0).alias("position"), F.lit("Identical source text").alias("reason"))
+    proposals = cut_lineage(said.select("note_id", "action", "target_id", F.col("position").cast("int").alias("position"), "reason").unionByName(exact))
+    aimed = cut_lineage(proposals.select(F.col("target_id").alias("memory_id")).filter("memory_id is not null").distinct())
+    support = current["memory_sources"].join(broadcast_if_small(aimed, 100), "memory_id", "left_semi").groupBy("memory_id").agg(
+        F.max("last_time").alias("last_time"), F.bool_and("all_timed").alias("all_timed"))
+    decisions = cut_lineage(evolution.decide(ready, proposals, active, support, order))
+    verdict = decisions.select("note_id", F.col("action").alias("_a"), F.col("reason").alias("_r"), F.col("memory_id").alias("_m"), "proposed")
+    # copies of a judged note point at the memory that it would have been
+    lead = decisions.join(leads, "note_id", "left_semi").select(ident.memory_id("note_id").alias("memory_id"), F.col("action").alias("_lead"), F.col("memory_id").alias("_end"))
+    both = outcome.drop("proposed").join(verdict, "note_id", "left").join(lead, "memory_id", "left").withColumn("_copy", F.col("_a").isNull() & F.col("_lead").isNotNull())
+    both = cut_lineage(both.withColumn("_alone", ((F.col("action") == "merge") & (F.col("_a") == "rejected")) | (F.col("_copy") & (F.col("_lead") == "rejected"))))
+    again = memory.merge_identical(ready.join(both.filter("_alone").select("note_id"), "note_id", "left_semi"), order).select(
+        "note_id", F.col("memory_id").alias("_m2"), F.col("action").alias("_a2"), F.col("reason").alias("_r2"))
+    moved = F.col("_copy") & (F.col("_lead") == "merge")
+    out = both.join(again, "note_id", "left").select(
+        "note_id", F.coalesce("_m2", F.when(moved, F.col("_end")), "_m", "memory_id").alias("memory_id"), F.coalesce("_a2", "_a", "action").alias("action"),
+        F.coalesce("_r2", "_r", "reason").alias("reason"), "fact_signature", "event_time", F.when(F.coalesce("_a2", F.lit("")) == "", F.col("proposed")).alias("proposed"))
+    return cut_lineage(out), decisions, proposals
+
+
+def integrate(current: dict[str, DataFrame], notes: DataFrame, propose=None) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """``(added, moved_out, rejected)``: rows that valid, informative notes put into the tables, sources that leave a stored
+    memory, and notes whose proposal was rejected; known notes are left out.  ``propose`` is described at ``judge``."""
     fresh = notes.join(current["notes"].select("note_id"), "note_id", "left_anti")
     # of repeated notes the first by document and chunk stays
     firsts = fresh.groupBy("note_id").agg(F.min(F.struct(*memory.NOTE_ORDER)).alias("_first"))
@@ -91,14 +144,25 @@ def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, Data
     facts = cut_lineage(facts)
     triple = F.concat_ws("\x1f", "source_node_id", "relation", "target_node_id")
     signed = facts.groupBy("note_id").agg(F.array_join(F.array_sort(F.collect_set(triple)), "\x1e").alias("fact_signature"))
+    times = F.transform("relations", lambda r: tx.aware_timestamp(r["event_time"]))
     ready = fresh.join(signed, "note_id", "left").withColumn("fact_signature", F.coalesce("fact_signature", F.lit(""))).withColumn(
-        "event_time", memory.event_time(F.col("relations")))
+        "event_time", memory.event_time(F.col("relations"))).withColumn("last_time", F.array_max(times)).withColumn(
+        "all_timed", F.when(F.size("relations") > 0, F.forall(times, lambda t: t.isNotNull())))
     held = current["memories"].filter("status = 'active'").select("memory_id", "content", "fact_signature")
     outcome = cut_lineage(memory.merge_identical(ready, order, held).select(
-        "note_id", "memory_id", "action", "reason", "fact_signature", "event_time"))
+        "note_id", "memory_id", "action", "reason", "fact_signature", "event_time", F.lit(None).cast("string").alias("proposed")))
+    decisions = None
+    if propose is not None:
+        outcome, decisions, proposals = judge(current, ready, named, outcome, propose)
+    rejected = outcome.filter("action = 'rejected'").join(fresh.select("note_id", "doc_id"), "note_id").select("note_id", "doc_id", "reason")
+    outcome = outcome.filter("action <> 'rejected'")
     merged = fresh.join(outcome, "note_id")
     owner = outcome.select("note_id", "memory_id")
-    born = merged.filter("action = 'add'").select("memory_id", "content", "context", "fact_signature", "event_time",
+    # names and links only of notes that are taken
+    named = named.join(owner.select("note_id"), "note_id", "left_semi")
+    made = made.join(named.select("node_id").distinct(), "node_id", "left_semi")
+    forms = forms.join(named.select("node_id", "name").distinct(), ["node_id", "name"], "left_semi")
+    born = merged.filter("action <> 'merge'").select("memory_id", "content", "context", "fact_signature", "event_time",
                                                   F.lit("active").alias("status"), F.lit(None).cast("string").alias("replacement_id"))
     linked = facts.join(owner, "note_id")
     edge_rows = linked.select(ident.edge_id("source_node_id", "relation", "target_node_id", "memory_id").alias("edge_id"),
@@ -107,17 +171,32 @@ def integrate(current: dict[str, DataFrame], notes: DataFrame) -> dict[str, Data
     blank = {f.name: f.dataType for f in current["notes"].schema}
     added = {
         "notes": stored.select(*[F.col(c).cast(t) if c in stored.columns else F.lit(None).cast(t).alias(c) for c, t in blank.items()]),
-        "memories": born, "memory_sources": owner.select("memory_id", "note_id"),
+        "memories": born, "memory_sources": owner.join(ready.select("note_id", "last_time", "all_timed"), "note_id"),
         "memory_entities": named.join(owner, "note_id").select("memory_id", "node_id").distinct(),
         "nodes": made, "surface_forms": forms, "node_sources": named.select("node_id", "note_id").distinct(),
         "edges": edge_rows.drop("note_id").distinct(), "edge_sources": edge_rows.select("edge_id", "note_id").distinct(),
-        "events": outcome.select("note_id", "memory_id", "action", "reason"),
+        "events": outcome.select("note_id", "memory_id", "action", "reason", "proposed", F.current_timestamp().alias("recorded_at")),
     }
+    moved_out = current["memory_sources"].select(*memory.KEYS["memory_sources"]).limit(0)
+    if decisions is not None:
+        fixed = {name: cut_lineage(added[name].select(*current[name].columns)) for name in ("memories", "memory_sources", "notes")}
+        rows, gone = evolution.effects({name: current[name].unionByName(df) for name, df in fixed.items()}, decisions, proposals)
+        away = cut_lineage(gone["memory_sources"])
+        moved_out = away.join(current["memory_sources"].select(*away.columns), away.columns, "left_semi")
+        added["memories"] = fixed["memories"].unionByName(rows["memories"])
+        added["notes"] = replaced(fixed["notes"], cut_lineage(rows["notes"]), None, "note_id")
+        added["memory_sources"] = cut_lineage(fixed["memory_sources"].join(away, away.columns, "left_anti").unionByName(rows["memory_sources"]))
+        added["revisions"] = rows["revisions"]
+        # the edges of a memory that took over sources stand on all of them
+        heirs = cut_lineage(rows["memory_sources"].select("memory_id").union(decisions.filter("action in ('merge', 'retire')").select("memory_id")).distinct())
+        edges = current["edges"].select("edge_id", "memory_id").unionByName(edge_rows.select("edge_id", "memory_id")).distinct().join(broadcast_if_small(heirs, 100), "memory_id", "left_semi")
+        behind = current["memory_sources"].select("memory_id", "note_id").join(moved_out, ["memory_id", "note_id"], "left_anti").unionByName(added["memory_sources"].select("memory_id", "note_id"))
+        added["edge_sources"] = added["edge_sources"].unionByName(edges.join(behind, "memory_id").select("edge_id", "note_id")).distinct()
     # what is there already by its key is not added again
     for name in ("memory_entities", "nodes", "surface_forms", "node_sources", "edges", "edge_sources", "memory_sources"):
         rows, key = added[name].dropDuplicates(list(memory.KEYS[name])), list(memory.KEYS[name])
         added[name] = cut_lineage(rows.select(*current[name].columns).join(current[name].select(*key), key, "left_anti"))
-    return {name: rows.select(*current[name].columns) for name, rows in added.items()}
+    return {name: rows.select(*current[name].columns) for name, rows in added.items()}, moved_out, rejected
 
 
 def neighbourhoods(edges: DataFrame, memories: DataFrame, nodes: DataFrame, touched: DataFrame) -> DataFrame:
@@ -131,8 +210,9 @@ def neighbourhoods(edges: DataFrame, memories: DataFrame, nodes: DataFrame, touc
     return adjacency.adjacency(near, names, ["edge_id"]).join(few, "here", "left_semi")
 
 
-def changes_of(current: dict[str, DataFrame], added: dict[str, DataFrame], gone: dict[str, DataFrame]) -> dict[str, Change]:
-    """What a commit writes: rows put in and keys taken out of each table, support counts and neighbourhoods that moved."""
+def changes_of(current: dict[str, DataFrame], added: dict[str, DataFrame], gone: dict[str, DataFrame], moved_out: DataFrame | None = None) -> dict[str, Change]:
+    """What a commit writes: rows put in and keys taken out of each table, support counts and neighbourhoods that moved.
+    ``moved_out`` are sources that go on under another memory."""
     out = {}
     for name in {*added, *gone} - {"support"}:
         key = memory.KEYS[name]
@@ -145,6 +225,12 @@ def changes_of(current: dict[str, DataFrame], added: dict[str, DataFrame], gone:
         lowered = gone["support"].withColumnRenamed("n_sources", "n_left")
         before = before.join(broadcast_if_small(lowered, 150), ["kind", "id"], "left").select("kind", "id", F.coalesce("n_left", "n_sources").alias("n_sources"))
         ids.append(gone["support"].select("kind", "id"))
+    if moved_out is not None:
+        key = memory.KEYS["memory_sources"]
+        out["memory_sources"].gone = moved_out if out["memory_sources"].gone is None else out["memory_sources"].gone.unionByName(moved_out)
+        less = memory.support_counts({"memory_sources": moved_out.select(*key)}).withColumnRenamed("n_sources", "n_less")
+        ids.append(less.select("kind", "id"))
+        before = before.join(broadcast_if_small(cut_lineage(less), 150), ["kind", "id"], "left").select("kind", "id", (F.col("n_sources") - F.coalesce("n_less", F.lit(0))).alias("n_sources"))
     moved = cut_lineage(reduce(DataFrame.unionByName, ids).distinct())
     held = before.join(broadcast_if_small(moved, 150), ["kind", "id"], "left_semi")
     counts = moved.join(held, ["kind", "id"], "left").join(raised, ["kind", "id"], "left").select(
@@ -172,15 +258,19 @@ def replaced(table: DataFrame, rows: DataFrame, gone: DataFrame | None, key: str
     return table.join(broadcast_if_small(out.distinct(), 100), key, "left_anti").unionByName(rows)
 
 
-def ingest(spark: SparkSession, paths, store: Store, replace: bool = False, extract=extraction.rule_notes, describe=None) -> DataFrame:
+def ingest(spark: SparkSession, paths, store: Store, replace: bool = False, extract=extraction.rule_notes, describe=None, propose=None) -> DataFrame:
     """Ingest files in one commit and return one report row per file.
 
+    ``propose`` (such as ``evolution.model_proposals(model)``) is asked how notes change the memories they share entities
+    with; without it notes are added, or merged with identical ones.  A note whose proposal is rejected is not stored, and
+    its document is reported as failed and may be retried.
+
     ``status`` is ingested, replaced, skipped_duplicate or failed.  A replacement that
     yields an invalid or no informative note is refused and the old document stays; a
     new document with some invalid notes is stored but reported failed and may be retried.
     """
     base = store.version()
-    current = {**empty_tables(spark), **store.tables()}
+    current = stored_tables(store)
     scanned = fl.scan_files(spark, paths)
     # the first pass only hashes and checks; the bytes are read again for wanted files alone
     seen = cut_lineage(scanned.drop("content"))
@@ -227,7 +317,14 @@ def ingest(spark: SparkSession, paths, store: Store, replace: bool = False, extr
             cleared = {**current, **{name: current[name].join(broadcast_if_small(rows.select(*memory.KEYS[name]), 200), list(memory.KEYS[name]), "left_anti")
                                      for name, rows in gone.items() if name != "support"}}
         good = notes.filter("_error is null and is_informative").join(kept_docs.select("doc_id"), "doc_id", "left_semi")
-        changes = changes_of(current, integrate(cleared, good), gone)
+        added, moved_out, rejected = integrate(cleared, good, propose)
+        changes = changes_of(current, added, gone, moved_out if propose is not None else None)
+        if propose is not None:
+            refused = cut_lineage(rejected.groupBy("doc_id").agg(F.first("reason").alias("_refused"), F.count("*").alias("_n")))
+            report = cut_lineage(report.join(refused, "doc_id", "left").withColumn("problem", F.coalesce("problem", "_refused")).withColumn(
+                "status", F.when(F.col("_refused").isNotNull(), "failed").otherwise(F.col("status"))).withColumn(
+                "n_errors", F.col("n_errors") + F.coalesce("_n", F.lit(0))).drop("_refused", "_n"))
+            kept_docs = report.filter("stored")
         if gone:
             changes["vector_deletes"] = Change(memory.KEYS["vector_deletes"], gone["notes"].select("note_id", "doc_id"))
         entries = kept_docs.select("doc_id", "content_hash", F.when(F.col("n_errors") > 0, "partial").otherwise("complete").alias("status"),
@@ -261,7 +358,7 @@ def flush_outbox(store: Store, write, delete=None) -> DataFrame:
     succeeded is acknowledged, so the next call sends the rest again.  Without ``delete``
     nothing is deleted and replaced documents wait.
     """
-    base, tables = store.version(), {**empty_tables(store.spark), **store.tables()}
+    base, tables = store.version(), stored_tables(store)
     notes, deletes = tables["notes"], tables["vector_deletes"]
     doomed = cut_lineage(memory.vector_deletions(notes, deletes))
     stuck = _delivered(delete, doomed, "deleting vectors") if delete is not None else doomed.select("note_id")

@@ -157,3 +157,51 @@ def test_readers_keep_cells(spark):
     assert fl._read_csv(b"a;b\n1,5;2\n3,5;4\n", "my_file")["tables"][0] == {"rows": [["a", "b"], ["1,5", "2"], ["3,5", "4"]], "caption": "my file", "page": None, "section": None}
     assert fl._read_csv(b" \n", "x") == {} and fl._read_csv(b"one\ntwo\n", "x")["tables"][0]["rows"] == [["one"], ["two"]]
     assert fl._excel_time("45000") == "2023-03-15 00:00:00" and fl._excel_time("1.5") == "1900-01-01 12:00:00"
+
+
+def test_notes_evolve_stored_memories(spark, tmp_path):
+    """A later fact supersedes, an equal one merges, an early one is stopped, an unknown target fails its document."""
+    from marginalia.operators import evolution, extraction
+    files = tmp_path / "f"
+    files.mkdir()
+    said = {"one": "Atlas is managed by Mara. First report.", "two": "Beacon is managed by Ivo. First report."}
+    for name, text in said.items():
+        (files / f"{name}.txt").write_text(text + " " + FILLER)
+
+    def dated(chunks):
+        """The month of a fact is the number of words before FILLER, so that texts carry their times."""
+        month = F.when(F.col("content").contains("First"), "2026-05").when(F.col("content").contains("Later"), "2026-09").when(F.col("content").contains("Early"), "2026-02")
+        notes = extraction.rule_notes(chunks)
+        return notes.withColumn("relations", F.transform("relations", lambda r: r.withField("event_time", F.concat(month, F.lit("-01T00:00:00Z")))))
+    store = Store(spark, str(tmp_path / "store"), ing.PARTITIONED)
+    ing.ingest(spark, str(files), store, extract=dated).collect()
+    for name, text in {"three": "Atlas is managed by Nele. Later report.", "four": "Beacon is managed by Ivo. Later report.", "five": "Beacon is managed by Olga. Early report.",
+                       "six": "Atlas is managed by Rudi. Wrong report."}.items():
+        (files / f"{name}.txt").write_text(text + " " + FILLER)
+
+    def model(prompt):
+        import json
+        asked = json.loads(prompt)
+        mine = [m["memory_id"] for m in asked["memories"]]
+        action = "merge" if "by Ivo" in asked["new_note"]["content"] else "update"
+        return {"action": action, "target_ids": ["elsewhere"] if "Wrong" in asked["new_note"]["content"] else mine[:1], "reason": "model"}
+    report = {r.doc_id: r for r in ing.ingest(spark, str(files), store, extract=dated, propose=evolution.model_proposals(model)).collect()}
+    assert {k: r.status for k, r in report.items()} == {"one": "skipped_duplicate", "two": "skipped_duplicate", "three": "ingested", "four": "ingested", "five": "ingested", "six": "failed"}
+    assert report["six"].error == "Unknown target memory"
+    t = {name: df.collect() for name, df in store.tables().items()}
+    by_text = {r.content.split(". ")[0]: r for r in t["memories"]}
+    assert by_text["Atlas is managed by Mara"].status == "superseded" and by_text["Atlas is managed by Mara"].replacement_id == by_text["Atlas is managed by Nele"].memory_id
+    assert by_text["Beacon is managed by Ivo"].status == "active" and set(by_text) == {"Atlas is managed by Mara", "Atlas is managed by Nele", "Beacon is managed by Ivo", "Beacon is managed by Olga"}
+    notes = {r.doc_id: r for r in t["notes"]}
+    assert notes["four"].memory_id == notes["two"].memory_id and "six" not in notes
+    assert notes["one"].vector_delete_pending and not notes["one"].vector_pending and notes["three"].vector_pending
+    assert {r.reason for r in t["events"]} == {"Preserve distinct evidence", "model", "Update blocked: explicit later event time required"}
+    assert {r.memory_id for r in t["revisions"]} == {by_text["Atlas is managed by Mara"].memory_id, by_text["Beacon is managed by Ivo"].memory_id}
+    ivo = by_text["Beacon is managed by Ivo"].memory_id
+    edge = {r.edge_id for r in t["edges"] if r.memory_id == ivo}
+    assert len(edge) == 1 and {r.note_id for r in t["edge_sources"] if r.edge_id in edge} == {notes["two"].note_id, notes["four"].note_id}
+    counts = {(r.kind, r.id): r.n_sources for r in t["support"]}
+    assert counts["memory", ivo] == 2 and counts["edge", edge.pop()] == 2
+    assert {(r.kind, r.id): r.n_sources for r in ing.memory.support_counts(store.tables()).collect()} == counts
+    # the neighbourhood of Atlas knows only the living fact
+    assert {p.fact_key for p in t["adjacency"] if "atlas" in p.fact_key} == {"atlas|managed_by|nele"}

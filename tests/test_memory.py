@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.operators import graph, memory, ordered, search
+from marginalia.operators import evolution, graph, memory, ordered, search
 from marginalia.streaming import jobs
 
 S = "\x1f"
@@ -38,7 +38,7 @@ def judge(spark, world, *cases):
         proposals += [(f"n{i}", action, t, p, "model says so") for p, t in enumerate(targets or [None])]
     notes = spark.createDataFrame(notes, "note_id string, content string, fact_signature string, event_time timestamp, doc_id string, chunk_index int")
     proposals = spark.createDataFrame(proposals, "note_id string, action string, target_id string, position int, reason string")
-    return memory.decide(notes, proposals, memories, support), proposals
+    return evolution.decide(notes, proposals, memories, support), proposals
 
 
 def test_guards(spark, world):
@@ -65,7 +65,7 @@ def test_effects(spark, world):
     tables = {"memories": memories, "memory_sources": spark.createDataFrame([("m1", "a"), ("m3", "b"), ("m2", "c")], "memory_id string, note_id string"),
               "notes": spark.createDataFrame([("a", "m1", False, False), ("b", "m3", False, False), ("c", "m2", False, False)],
                                              "note_id string, memory_id string, vector_pending boolean, vector_delete_pending boolean")}
-    out = memory.apply_decisions(tables, decided, proposals)
+    out = evolution.apply_decisions(tables, decided, proposals)
     status = {r.memory_id: (r.status, r.replacement_id) for r in out["memories"].collect()}
     mine = {r.note_id: r.memory_id for r in decided.collect()}
     assert status["m1"] == ("active", None) and status["m3"] == ("retired", "m1") and status["m2"] == ("retired", mine["n1"])
@@ -80,7 +80,7 @@ def test_update_leaves_the_index(spark, world):
     decided, proposals = judge(spark, world, ("later", fact("atlas", "managed_by", "c"), at(9), "update", ["m1"]))
     notes = spark.createDataFrame([("a", "m1", True, False)], "note_id string, memory_id string, vector_pending boolean, vector_delete_pending boolean")
     sources = spark.createDataFrame([("m1", "a")], "memory_id string, note_id string")
-    out = memory.apply_decisions({"memories": memories, "memory_sources": sources, "notes": notes}, decided, proposals)
+    out = evolution.apply_decisions({"memories": memories, "memory_sources": sources, "notes": notes}, decided, proposals)
     assert tuple(out["notes"].first()) == ("a", "m1", False, True)
     ends = {r.memory_id: r.end_status for r in graph.replacement_ends(out["memories"]).collect()}
     assert ends["m1"] == "superseded" and ends["m2"] == "active"
