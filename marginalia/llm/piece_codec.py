@@ -13,6 +13,9 @@ from .common import columns_of, map_texts, text_bytes
 from .pieces import PartCache, SPACE, Vocabulary, vocabulary
 
 
+NONE = float("-inf")
+
+
 class Encoder:
     """Aho-Corasick longest matches, compatibility of neighbours by merging them again, a bitfield of failed positions.
 
@@ -32,17 +35,22 @@ class Encoder:
         for piece in self.usable:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
+        self.characters = frozenset(p for p in vocab.ids if len(p) == 1)
         self.shorter = functools.lru_cache(maxsize=CACHE_PAIRS)(self._shorter)
 
     def merged(self, text: str) -> list[str]:
-        """Plain merging of a short text: the best-scored adjacent pair, leftmost first, until none is left."""
-        scores, symbols = self.vocab.scores, list(text)
-        while len(symbols) > 1:
-            pairs = [(-s, i) for i in range(len(symbols) - 1) if (s := scores.get(symbols[i] + symbols[i + 1])) is not None]
-            if not pairs:
-                break
-            at = min(pairs)[1]
+        """Plain merging of a short text: the best-scored adjacent pair, leftmost first, until none is left.  A merge
+        changes only the scores of the two pairs beside it."""
+        score, symbols = self.vocab.scores.get, list(text)
+        pairs = [score(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := max(pairs)) != NONE:
+            at = pairs.index(best)
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(symbols[at - 1] + symbols[at], NONE)
+            if at < len(pairs):
+                pairs[at] = score(symbols[at] + symbols[at + 1], NONE)
         return symbols
 
     def _fits(self, left: str, right: str) -> bool:
@@ -54,6 +62,8 @@ class Encoder:
 
     def encode(self, part: str) -> list[int]:
         """Ids of a part; a character outside the vocabulary becomes its UTF-8 bytes."""
+        if self.characters.issuperset(part):
+            return self._known(part)
         ids, run = [], 0
         for at, c in enumerate(part):
             if c not in self.vocab.ids:
@@ -150,6 +160,27 @@ def decode_ids(ids: pa.ListArray, path: str) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def encode_texts(texts: pa.Array, path: str) -> pa.ListArray:
+    known, parts = _parts_to_ids(path), vocabulary(path).parts
+    raw = [b"".join(map(known.__getitem__, parts(t.decode()))) for t in text_bytes(texts)]
+    offsets = np.zeros(len(raw) + 1, np.int32)
+    np.cumsum([len(x) >> 2 for x in raw], out=offsets[1:])
+    flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
+    return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+
+def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, ids and the text that the ids decode to, in one pass: what ``decode(encode(...))`` gives, with one worker for each
+    task instead of two.  A null or empty text has no ids and an empty text."""
+    schema = "doc_id long, ids array<int>, text string"
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = encode_texts(batch.column("text"), path)
+        return columns_of(schema, doc_id=batch.column("doc_id"), ids=ids, text=decode_ids(ids, path))
+
+    return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), work, schema)
+
+
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every whole text, as the sentencepiece model at ``path`` merges it.
 
@@ -159,12 +190,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     schema = "doc_id long, ids array<int>"
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known, parts = _parts_to_ids(path), vocabulary(path).parts
-        raw = [b"".join(map(known.__getitem__, parts(t.decode()))) for t in text_bytes(batch.column("text"))]
-        offsets = np.zeros(len(raw) + 1, np.int32)
-        np.cumsum([len(x) >> 2 for x in raw], out=offsets[1:])
-        flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])
-        return columns_of(schema, doc_id=batch.column("doc_id"), ids=pa.ListArray.from_arrays(pa.array(offsets), flat))
+        return columns_of(schema, doc_id=batch.column("doc_id"), ids=encode_texts(batch.column("text"), path))
 
     return map_texts(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), work, schema)
 

@@ -86,7 +86,7 @@ def op5_lm_score(spark, folder):
 
 def op6_piece_codec(spark, folder):
     """Ids and decoded text of every document, as digests."""
-    coded = piece_codec.decode(piece_codec.encode(read(spark, folder, "documents"), piece_model()), piece_model())
+    coded = piece_codec.round_trip(read(spark, folder, "documents"), piece_model())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                         F.sha2("text", 256).alias("decoded_sha256"))
 
