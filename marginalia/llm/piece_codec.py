@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -75,29 +77,33 @@ class Encoder:
         n = len(text)
         if not n:
             return []
+        if text in self.usable:
+            return [self.vocab.ids[text]]
         longest = [1] * n
-        for stop, size in self.automaton.iter(text):
-            if size > longest[stop - size + 1]:
-                longest[stop - size + 1] = size
-        failed = bytearray((n >> 3) + 1)
+        for stop, size in self.automaton.iter(text):    # ends ascend, so a start's last match is its longest
+            longest[stop - size + 1] = size
+        fits, shorter = self.fits, self.shorter
+        failed, any_failed = bytearray((n >> 3) + 1), False
         taken: list[str] = []
-        at, piece = 0, text[:longest[0]]
+        before, at, piece = "", 0, text[:longest[0]]
         while at < n:
             while piece:
                 stop = at + len(piece)
-                if not failed[stop >> 3] >> (stop & 7) & 1 and (not taken or self.fits(taken[-1], piece)):
+                if not (any_failed and failed[stop >> 3] >> (stop & 7) & 1) and (not before or fits(before, piece)):
                     break
-                piece = self.shorter(piece)
+                piece = shorter(piece)
             if piece:
                 taken.append(piece)
-                at += len(piece)
+                before, at = piece, stop
                 if at < n:
                     piece = text[at:at + longest[at]]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 piece = taken.pop()
+                before = taken[-1] if taken else ""
                 at -= len(piece)
-                piece = self.shorter(piece)
+                piece = shorter(piece)
         return [self.vocab.ids[p] for p in taken]
 
 
@@ -110,8 +116,22 @@ def _parts_to_ids(path: str) -> PartCache:
     return PartCache(lambda part: np.array(encoder.encode(part), np.int32).tobytes())
 
 
+@functools.lru_cache(maxsize=2)
+def _finer(path: str):
+    """Parts of a text like those of the vocabulary, but a word ends before a mark that follows a letter in no piece: two
+    characters that stand side by side in no piece are never merged across, and words recur more often without the comma."""
+    vocab = vocabulary(path)
+    after_letters = {p[i + 1] for p in vocab.ids for i in range(len(p) - 1) if p[i].isalpha()}
+    marks = "".join(re.escape(c) for c in string.punctuation if c not in after_letters)
+    return re.compile(f"{SPACE}*+[^\\W\\d_]++(?=[{marks}])|" + vocab.part.pattern) if marks else vocab.part
+
+
+def parts_of(text: str, path: str) -> list[str]:
+    return _finer(path).findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+
 def encode_text(text: str, path: str) -> np.ndarray:
-    return np.frombuffer(b"".join(map(_parts_to_ids(path).__getitem__, vocabulary(path).parts(text))), np.int32)
+    return np.frombuffer(b"".join(map(_parts_to_ids(path).__getitem__, parts_of(text, path))), np.int32)
 
 
 @functools.lru_cache(maxsize=2)
@@ -161,8 +181,8 @@ def decode_ids(ids: pa.ListArray, path: str) -> pa.Array:
 
 
 def encode_texts(texts: pa.Array, path: str) -> pa.ListArray:
-    known, parts = _parts_to_ids(path), vocabulary(path).parts
-    raw = [b"".join(map(known.__getitem__, parts(t.decode()))) for t in text_bytes(texts)]
+    known = _parts_to_ids(path)
+    raw = [b"".join(map(known.__getitem__, parts_of(t.decode(), path))) for t in text_bytes(texts)]
     offsets = np.zeros(len(raw) + 1, np.int32)
     np.cumsum([len(x) >> 2 for x in raw], out=offsets[1:])
     flat = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(raw))])

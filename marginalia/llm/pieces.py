@@ -37,12 +37,12 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("pieces must not hold a space mark after another character")
         alone = "" if "\n" in "".join(self.ids) else "\\n"
-        self._part = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else ""))
+        self.part = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|{alone}" if alone else ""))
 
     def parts(self, text: str) -> list[str]:
         """Parts that no piece crosses: a piece never has a space mark after another character, and a line feed outside the
         vocabulary never merges.  Their encodings, one after the other, are the text's."""
-        return self._part.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        return self.part.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 @functools.lru_cache(maxsize=2)
