@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Numbering, columns_of, map_texts, text_bytes
+from .common import Numbering, columns_of, map_texts, slices, text_bytes
 from .pieces import PartCache
 
 #: Bands of characters per token, of the share of byte-fallback tokens and of token entropy in bits.  Entropy grows with
@@ -138,14 +138,15 @@ def fertility(docs: DataFrame, path: str, bands: dict | None = None, doc_id: str
 
 
 def keep_fluent(docs: DataFrame, path: str, bands: dict | None = None, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The input rows that the rules keep, all columns as they are."""
+    """The input rows that the rules keep, all columns as they are, repeated rows and clashing names too.  Rows without a text or
+    with an empty one fail the base and go."""
     from ..session import ship_package
     ship_package(docs.sparkSession)
     bands = {**BANDS, **(bands or {})}
 
     def run(batches):
         vocab = _tokens(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             kept = [measure(t, k, vocab, bands)[-1] for t, k in zip(text_bytes(batch.column(text)), batch.column(lang).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
