@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from .selection import median_and_share
+
 
 def case_checks() -> dict[str, Column]:
     """Checks of a case against its response; null where the case does not ask for one.
@@ -27,7 +29,7 @@ def report(results: DataFrame) -> DataFrame:
     """One-row report over all cases; failed cases stay in the denominators.
 
     Also reads ``error`` (null when answered) and ``latency_seconds``, whose null, NaN and infinite values have no rank.
-    One combining aggregate; the percentiles count equal values together.
+    One combining aggregate; the median and the nearest-rank 95th percentile are selected by histograms.
     """
     checks = case_checks()
     annotated = F.coalesce(F.col("expected_terms").isNotNull() | F.col("expected_doc_ids").isNotNull()
@@ -36,12 +38,10 @@ def report(results: DataFrame) -> DataFrame:
     for check in checks.values():
         passed = passed & F.coalesce(check, F.lit(True))
     fine = F.col("error").isNull()
-    seconds = F.col("latency_seconds").cast("double")
-    timed = results.withColumn("_timed", F.when(~F.isnan(seconds) & (F.abs(seconds) != float("inf")), seconds))
-    return timed.agg(
+    median, p95 = median_and_share(results, F.col("latency_seconds"), 95)
+    return results.agg(
         F.count("*").alias("total_questions"),
         F.count_if(fine & ~F.coalesce("insufficient_evidence", F.lit(True))).alias("answered"),
         F.count_if(~fine).alias("errors"), F.count_if(annotated).alias("annotated_cases"),
         F.count_if(fine & passed).alias("passed_annotated_cases"),
-        F.percentile("_timed", 0.5).alias("median_latency_seconds"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY _timed)").alias("p95_latency_seconds"))
+        F.lit(median).cast("double").alias("median_latency_seconds"), F.lit(p95).cast("double").alias("p95_latency_seconds"))
