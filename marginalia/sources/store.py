@@ -129,7 +129,10 @@ class Store:
             (out.partitionBy(column) if parted else out).parquet(
                 f"{self.root}/{attempt}/{name}/{kind}")
 
+        known = self._segments(latest)
         for name, value in tables.items():
+            if isinstance(value, Change) and value.rows is not None and not known.get(name):
+                value = value.rows          # the first rows of a table are its whole form
             if isinstance(value, DataFrame):
                 write(name, "full", value)
                 continue
