@@ -24,7 +24,11 @@ BANDS = {
     "cjk": (0.35, 3.0, 0.80, 0.25),
     "other": (0.30, 9.0, 0.95, 0.20),
 }
-LEAST_TOKENS = 64
+#: What a measure of n tokens may lie outside its band, times sqrt(n): two standard deviations, where a token's characters
+#: vary by about two, byte tokens come in bunches of about four, and entropy is in bits.
+CHARS_MARGIN = 4.0
+BYTES_MARGIN = 1.6
+ENTROPY_MARGIN = 4.0
 LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 SYMBOLS = b"#*$%&|<>"
@@ -87,6 +91,15 @@ def script_of(text: bytes) -> str:
     return max(counts, key=counts.get)
 
 
+def in_band(band: tuple, n_tokens: int, chars_per_token: float, byte_share: float, bits: float) -> bool:
+    """Whether the measures of a text of ``n_tokens`` lie in a band, which is wider for short texts."""
+    least, most, most_bytes, least_entropy = band
+    n = max(n_tokens, 1)
+    unit = n ** -0.5
+    return (least - CHARS_MARGIN * unit <= chars_per_token <= most + CHARS_MARGIN * unit and byte_share <= most_bytes + BYTES_MARGIN * unit
+            and bits >= least_entropy * np.log2(n) - ENTROPY_MARGIN * unit)
+
+
 def measure(text: bytes, lang: str | None, vocab: Tokens, bands: dict) -> tuple:
     words = text.split()  # ASCII white space, as for bytes
     n_words = len(words)
@@ -108,9 +121,7 @@ def measure(text: bytes, lang: str | None, vocab: Tokens, bands: dict) -> tuple:
     script = script_of(word_bytes)
     n_repeat = repeated_words(ids)
     base_failed = n_words < LEAST_WORDS or 100 * n_repeat > MOST_REPEATED_PERCENT * n_words
-    least, most, most_bytes, least_entropy = bands.get(lang) or bands[script]
-    inside = n_tokens < LEAST_TOKENS or (
-        least <= chars_per_token <= most and byte_share <= most_bytes and bits >= least_entropy * np.log2(n_tokens))
+    inside = in_band(bands.get(lang) or bands[script], n_tokens, chars_per_token, byte_share, bits)
     return (n_words, word_chars, len(text) - len(text.translate(None, SYMBOLS)), duplicate_lines(text), n_repeat, n_tokens,
             chars_per_token, byte_share, bits, script, base_failed, bool(inside and not base_failed))
 
@@ -120,8 +131,9 @@ def fertility(docs: DataFrame, path: str, bands: dict | None = None, doc_id: str
     text under the public sentencepiece vocabulary at ``path``, and a verdict.
 
     ``base_failed``: under ten words, or more than a fifth of the words in repeated five-word windows.  ``kept``: the base
-    holds and the three measures lie in the band of the language, or of the script when ``lang`` is null or has no band
-    (texts of fewer than 64 tokens have no stable measures and pass).  A null or empty text has no words and fails the
+    holds and the three measures lie in the band of the language, or of the script when ``lang`` is null or has no band;
+    bands hold
+    at every length and widen as 1/sqrt(tokens).  A null or empty text has no words and fails the
     base.  A row for each input row, repeated ones too; a null id stays null; other columns are not read.  Nothing is
     shuffled; a task holds one slice of texts and a bounded cache of words.
     """
