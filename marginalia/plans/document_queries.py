@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, identity as ident, numbers, text as tx
 from ..functions.rows import spread_array
-from ..operators import chunking, cleaning, drafts, extraction, tables
+from ..operators import chunking, cleaning, drafts, extraction, long_tables, tables
 from ..operators.ordered import top_per_key
 from ..session import spread
 
@@ -151,7 +151,7 @@ def relation_extract(spark, sf):
 
 
 def _line_tables(spark, sf, key, cells):
-    """Line items of an order or a supplier as one table, whole, in the order of their keys."""
+    """Line items of an order as one table, whole, in the order of their keys."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
     return table(spark, sf, "lineitem").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(
         F.struct(*order, F.array(*cells).alias("cells")))), lambda r: r["cells"]).alias("body"))
@@ -161,10 +161,10 @@ def row_sentences(spark, sf):
     """What each supplier delivered, tables of several hundred rows."""
     cells = [F.col("l_partkey").cast("string"), F.concat(F.lit("Order "), F.col("l_orderkey").cast("string")),
              F.col("l_quantity").cast("int").cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")]
-    grown = _line_tables(spark, sf, "l_suppkey", cells).select(
-        "l_suppkey", F.concat(F.array(F.array(*map(F.lit, ("Part", "Sold in", "Quantity", "Shipped")))), "body").alias("rows"),
-        F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("caption"))
-    cut = tables.table_pieces(grown)
+    rows = table(spark, sf, "lineitem").withColumn("cells", F.array(*cells))
+    headers = rows.select("l_suppkey").distinct().select("l_suppkey", F.array(*map(F.lit, ("Part", "Sold in", "Quantity", "Shipped"))).alias("header"),
+                                                         F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("caption"))
+    cut = long_tables.long_table_pieces(rows, headers, "l_suppkey", ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"])
     return cut.select("l_suppkey", F.col("part").cast("long").alias("part"), F.col("parts").cast("long").alias("parts"),
                       F.md5("text").alias("text_md5"))
 
