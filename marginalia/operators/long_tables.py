@@ -133,16 +133,19 @@ def long_table_pieces(body: DataFrame, headers: DataFrame, keys, order, segment_
     if segment_rows <= _REACH:
         raise ValueError(f"a segment has more than {_REACH} rows")
     keys, order = ([x] if isinstance(x, str) else list(x) for x in (keys, order))
-    clean = body.select(*keys, *order, _trimmed(F.col("cells")).alias("cells")).filter(F.exists("cells", lambda c: c != ""))
+    filled = F.coalesce(F.exists("cells", lambda c: c.rlike(r"(?U)[^\s\x1c-\x1f]")), F.lit(False))
+    # Numbered before anything is rendered: dealing by ranges reads its input twice, once to sample it.
+    rows = numbered(body.select(*keys, *order, "cells").filter(filled), keys, [*order, "cells"])
+    clean = rows.select(*keys, "_rn", _trimmed(F.col("cells")).alias("cells"))
     about = cut_lineage(described(clean, headers.select(*keys, "header", "caption"), keys))
     known = broadcast_if_small(about.select(*keys, "_header", "_places", "_talks"), 1024)
     cells = F.transform("_places", lambda i: F.coalesce(F.get("cells", i), F.lit("")))
+    # A row with a filled cell has one in a column that stays, so no line is empty and the numbers have no gaps.
     lines = (clean.join(known, keys).withColumn("_row", cells)
-             .withColumn("line", F.when(F.col("_talks"), tables.row_sentence(F.col("_header"), F.col("_row"))).otherwise(tables.markdown_row(F.col("_row"))))
-             .filter("line <> ''").select(*keys, *order, "line"))
+             .withColumn("line", F.when(F.col("_talks"), tables.row_sentence(F.col("_header"), F.col("_row"))).otherwise(tables.markdown_row(F.col("_row")))))
     seg, at = F.expr(f"_rn div {segment_rows}"), F.col("_rn") % segment_rows
     seen_by = F.when((at < _REACH) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg))
-    dealt = spread_array(numbered(lines, keys, [*order, "line"]), [*keys, F.struct("_rn", tx.word_count("line").alias("words"), "line").alias("r"), seg.alias("_of")], seen_by, "seg")
+    dealt = spread_array(lines, [*keys, F.struct("_rn", tx.word_count("line").alias("words"), "line").alias("r"), seg.alias("_of")], seen_by, "seg")
     segments = (dealt.groupBy(*keys, "seg").agg(F.array_sort(F.collect_list("r")).alias("rows"), F.sum((F.col("_of") == F.col("seg")).cast("int")).cast("int").alias("own"))
                 .withColumn("words", F.transform("rows", lambda r: r["words"])))
     segments = cut_lineage(segments.withColumn("map", _map_of("words", "own")))
