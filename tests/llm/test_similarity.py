@@ -158,6 +158,33 @@ def test_compact_windows_by_definition():
                     assert sum(l <= i and j <= r and x == c for l, x, r in windows) == 1
 
 
+def test_common_run_of_any_passage():
+    """46 shingles lose 9 at most, which is two edits and three runs; 60 lose 12, three edits and four runs of 12."""
+    assert passages.Settings().run == 12 and passages.Settings().gram == 8
+    assert passages.Settings(percent=100).run == passages.Settings().least
+
+
+def test_equal_runs_have_the_same_gram():
+    """Every range of ``run`` shingles holds a chosen gram, the same one wherever the range stands; short texts have none."""
+    rng = np.random.default_rng(4)
+    settings = passages.Settings()
+    common_run = rng.integers(1, 2**63, settings.run, dtype=np.uint64)
+    texts = [rng.integers(1, 2**63, n, dtype=np.uint64) for n in (settings.least, 200, 0, settings.least - 1, 90)]
+    texts[1][150:162], texts[4][3:15] = common_run, common_run
+    sizes = np.array([len(x) for x in texts])
+    hashes, text, place = passages.winnowed_grams(np.concatenate(texts), sizes, settings)
+    chosen = {t: dict(zip(place[text == t].tolist(), hashes[text == t].tolist())) for t in range(len(texts))}
+    assert not chosen[2] and not chosen[3]
+    for t in (0, 1, 4):
+        for i in range(sizes[t] - settings.run + 1):
+            assert any(k in chosen[t] for k in range(i, i + settings.run - settings.gram + 1))
+    inside = lambda t, at: {h for k, h in chosen[t].items() if at <= k <= at + settings.run - settings.gram}
+    both = inside(1, 150) & inside(4, 3)
+    assert both
+    spots = np.array([k for k, h in chosen[1].items() if h in both])
+    assert passages.common_places(200, spots, settings)[150:162].all()
+
+
 def test_repeated_passages(spark):
     rng = random.Random(21)
     passage, other = words(rng, 70), words(rng, 120)
