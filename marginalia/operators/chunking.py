@@ -96,14 +96,14 @@ def split_long(text: str) -> list[str]:
     return pieces
 
 
-def merge_small(pieces: list[tuple]) -> list[tuple]:
-    """Join a short piece with what follows in its section; a short tail joins backwards."""
+def merge_small(pieces: list[tuple], ahead: bool = True) -> list[tuple]:
+    """Join a short piece with what follows in its section, unless ``ahead`` is off; a short tail joins backwards."""
     small, longest = config.MIN_CHUNK_WORDS, config.MAX_CHUNK_WORDS
     out: list[list] = []                       # [section, [texts], words]
     for section, text in pieces:
         size = len(text.split())
         last = out[-1] if out else None
-        if last and last[0] == section and last[2] < small and last[2] + size <= longest:
+        if ahead and last and last[0] == section and last[2] < small and last[2] + size <= longest:
             last[1].append(text)
             last[2] += size
         else:
@@ -116,8 +116,7 @@ def merge_small(pieces: list[tuple]) -> list[tuple]:
     return [(section, "\n\n".join(texts)) for section, texts, _ in out]
 
 
-@F.pandas_udf(PIECES)
-def _fold(paragraphs: pd.Series, initial: pd.Series) -> pd.Series:
+def _folded(paragraphs: pd.Series, initial: pd.Series, ahead: bool) -> pd.Series:
     """Headings, near-duplicates, cutting and merging for documents that need them."""
     def one(units, section):
         if units is None:
@@ -130,10 +129,20 @@ def _fold(paragraphs: pd.Series, initial: pd.Series) -> pd.Series:
                 bodies.append((section, unit["text"]))
         repeats = near_duplicates(re.sub(r"\W+", " ", t.lower()).strip() for _, t in bodies)
         pieces = [(s, part) for (s, t), again in zip(bodies, repeats) if not again for part in split_long(t)]
-        return [{"section": s, "text": t} for s, t in merge_small(pieces)]
+        return [{"section": s, "text": t} for s, t in merge_small(pieces, ahead)]
     return pd.Series([one(u, s) for u, s in zip(paragraphs, initial)], dtype=object)
 
 
+@F.pandas_udf(PIECES)
+def _fold(paragraphs: pd.Series, initial: pd.Series) -> pd.Series:
+    return _folded(paragraphs, initial, True)
+
+
+@F.pandas_udf(PIECES)
+def _fold_tails(paragraphs: pd.Series, initial: pd.Series) -> pd.Series:
+    return _folded(paragraphs, initial, False)
+
+
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
 def near_duplicate_flags(paragraphs: pd.Series) -> pd.Series:
     """For every paragraph of an array whether it closely repeats an earlier kept one."""
@@ -169,8 +178,12 @@ def add_overlap(pieces: Column) -> Column:
     return F.when(F.size(pieces) > 1, F.transform(pieces, extended)).otherwise(pieces)
 
 
-def chunk_pieces(docs: DataFrame, text: str = "text", section: str | None = None) -> DataFrame:
-    """Add ``pieces``: the chunks of every (already cleaned) text, in order."""
+def chunk_pieces(docs: DataFrame, text: str = "text", section: str | None = None, ahead: bool = True) -> DataFrame:
+    """Add ``pieces``: the chunks of every (already cleaned) text, in order.
+
+    ``ahead=False`` leaves a short piece alone unless it is the last, which joins backwards.
+    """
+    fold = _fold if ahead else _fold_tails
     initial = F.col(section) if section else F.lit(None).cast("string")
     kept = F.filter(tx.paragraphs(text), lambda p: ~tx.is_junk(p))
     tagged = F.transform("_paragraphs", lambda p: F.struct(p.alias("text"), tx.heading_text(p).alias("title")))
@@ -179,15 +192,15 @@ def chunk_pieces(docs: DataFrame, text: str = "text", section: str | None = None
     alone = F.transform(F.filter("_tagged", lambda p: p["title"].isNull()),
                         lambda p: F.struct(initial.alias("section"), p["text"].alias("text")))
     staged = (docs.withColumn("_paragraphs", kept).withColumn("_tagged", tagged)
-              .withColumn("_folded", _fold(F.when(needs_work, F.col("_tagged")), initial))
+              .withColumn("_folded", fold(F.when(needs_work, F.col("_tagged")), initial))
               .withColumn("_packed", F.coalesce("_folded", alone)))
     return (staged.withColumn("pieces", add_overlap(F.col("_packed")))
             .drop("_paragraphs", "_tagged", "_folded", "_packed"))
 
 
-def chunk_documents(docs: DataFrame) -> DataFrame:
+def chunk_documents(docs: DataFrame, ahead: bool = True) -> DataFrame:
     """``(doc_id, chunk_index, section, text)`` from cleaned ``(doc_id, text)``."""
-    flat = spread_array(chunk_pieces(docs), ["doc_id"], "pieces", "_p", "chunk_index")
+    flat = spread_array(chunk_pieces(docs, ahead=ahead), ["doc_id"], "pieces", "_p", "chunk_index")
     return flat.select("doc_id", "chunk_index", F.col("_p.section").alias("section"),
                        F.col("_p.text").alias("text"))
 

@@ -27,6 +27,14 @@ def test_page_furniture(spark):
     assert got["one", 1] == "7\nkept"
 
 
+def test_short_first_piece_stays_alone_on_request(spark):
+    text = "Nine words stand here in a very short start. " + " ".join(["Then"] + ["word"] * 470 + ["ends."]) + " " + " ".join(["Last"] + ["word"] * 300)
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    sizes = {ahead: [len(r.text.split()) for r in chunking.chunk_documents(docs, ahead=ahead).orderBy("chunk_index").collect()] for ahead in (True, False)}
+    # each piece repeats the last sentence of the one before it, where both fit
+    assert sizes == {True: [481, 301], False: [9, 481, 301]}
+
+
 def test_pages_join_into_sentences(spark):
     df = spark.createDataFrame([("d", 1, "OpenAI released GPT-4 in\n"), ("d", 2, "\nMarch 2023."), ("d", 3, " "),
                                 ("d", 4, "New topic.")], "doc_id string, page int, text string")
