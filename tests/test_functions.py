@@ -158,3 +158,18 @@ def test_identity_matches_json(evaluate):
         assert evaluate(identity.note_id(F.lit("document"), F.lit("d"), F.lit(3), F.lit("h"), F.col("x"),
                                          F.lit(None).cast("string")), value) == [
             hashlib.sha256(note.encode()).hexdigest()]
+
+
+def test_patterns_run_once_for_a_date_and_a_number(spark):
+    """A pattern written into several branches of a lambda runs in each of them."""
+    def patterns(column):
+        plan = spark.range(1).select(column(F.col("id").cast("string")).alias("y"))._jdf.queryExecution().analyzed().toString()
+        return plan.count("regexp_extract(") + plan.count("RLIKE(")
+    assert patterns(dates.extract_dates) == 2 and patterns(numbers.extract_numbers) == 2
+    assert patterns(numbers.parse_number) == 2
+
+
+def test_first_characters_of_dates(evaluate):
+    found = evaluate(F.array_join(F.transform(dates.extract_dates("x"), dates.format_date), "|"),
+                     "SEPT. 3rd, 2021; ſept 2020; xMay 2019; 7may 2018; 12 Jan 1999-01-02; 1999", "2023-02-31 or 31 February 2023, dec 2022")
+    assert found == ["2021-9-3|2020|2019|2018|1999-1-2|1999", "2022-12"]
