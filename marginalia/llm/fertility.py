@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,18 @@ SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 
 class Tokens:
-    """Token ids of single words, each distinct word encoded once while it is in the cache."""
+    """Token ids of single words as packed 32-bit numbers, each distinct word encoded once while it is in the cache.
+
+    Short byte strings lie in Python's own small blocks; an array for each word would pin the heap in which texts come and go.
+    """
 
     def __init__(self, path: str):
         import sentencepiece
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
-        self.cache = PartCache(lambda word: np.array(self.model.encode(word.decode()), np.int32))
+        self.cache = PartCache(lambda word: array("i", self.model.encode(word.decode())).tobytes())
 
-    def of(self, words: list[bytes]) -> list[np.ndarray]:
+    def of(self, words: list[bytes]) -> list[bytes]:
         return list(map(self.cache.__getitem__, words))
 
 
@@ -108,9 +112,9 @@ def measure(text: bytes, lang: str | None, vocab: Tokens, bands: dict) -> tuple:
     numbers = Numbering()
     ids = numbers.of(words)
     of_word = vocab.of(list(numbers))
-    sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
+    sizes = np.fromiter(map(len, of_word), np.int64, len(of_word)) // 4
     times = np.bincount(ids, minlength=len(of_word))
-    flat = np.concatenate(of_word) if of_word else np.zeros(0, np.int32)
+    flat = np.frombuffer(b"".join(of_word), np.int32)
     weights = np.repeat(times, sizes)
     per_token = np.bincount(flat, weights=weights) if len(flat) else np.zeros(0)
     n_tokens = int(weights.sum())

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 from .common import components, fresh, map_texts, mixed, shingle_hashes, slices, text_bytes, word_hashes
+from .pieces import PartCache
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,7 @@ def signatures(docs: DataFrame, settings: Settings, doc_id: str = "doc_id", text
     count = settings.bands * settings.rows
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        PartCache.release()  # reused workers come with the token caches of a stage before
         sizes, hi, lo, bands, sketches = [], [], [], [], []
         lists = [t.lower().split() for t in text_bytes(batch.column("text"))]
         hashes = word_hashes([w for x in lists for w in x])

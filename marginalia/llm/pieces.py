@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import re
 
+import pyarrow as pa
+
 SPACE = "▁"
 CACHE_ENTRIES = 120_000
 CACHED_LENGTH = 48
@@ -52,7 +54,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 class PartCache(dict):
     """Results by part, of short parts, in bounded number: the entries of a full cache are kept as an older generation,
-    from which those still in use come back.  A worker that goes on to another operator drops what it kept for the last."""
+    from which those still in use come back.  A worker that goes on to another operator drops what it kept for the last: a new
+    cache empties the others, and ``release`` is for operators without one."""
 
     made: list = []
 
@@ -60,10 +63,18 @@ class PartCache(dict):
         super().__init__()
         self.work = work
         self.older: dict = {}
-        for other in self.made:
+        self.release()
+        self.made.append(self)
+
+    @classmethod
+    def release(cls):
+        """Empty all caches of this process, and give back what Arrow holds of earlier batches."""
+        held = [x for x in cls.made if x or x.older]
+        for other in held:
             other.clear()
             other.older = {}
-        self.made.append(self)
+        if held:
+            pa.default_memory_pool().release_unused()
 
     def __missing__(self, part):
         made = self.older.pop(part, None)

@@ -4,7 +4,9 @@ import collections
 import math
 import random
 import re
+import sys
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -111,3 +113,14 @@ def test_bands_hold_for_short_texts():
     assert not kept(" ".join(f"{chr(97 + i % 26)}{chr(98 + i % 24)}{chr(99 + i % 22)}" for i in range(7, 26)) + " x q z j k v w y p q" * 3)
     assert kept("Call the office on +1 (372) 555-7739 before noon and ask for Anna \U0001F600 please.")
     assert kept("The card number is 9597024294303453 and it ends in the month of May.")
+
+
+def test_token_caches_are_small_and_given_back():
+    from marginalia.llm import fertility, pieces
+    vocab = fertility.Tokens(piece_model())
+    words = [b"word%d" % i for i in range(300)]
+    made = vocab.of(words)
+    assert [np.frombuffer(x, np.int32).tolist() for x in made] == [vocab.model.encode(w.decode()) for w in words]
+    assert max(map(sys.getsizeof, made)) <= 80 and len(vocab.cache) == 300
+    pieces.PartCache.release()
+    assert not vocab.cache and not vocab.cache.older and vocab.of(words) == made
