@@ -60,6 +60,11 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def bound(value, body) -> Column:
+    """``body(value)`` with the value evaluated once.  Below a lambda nothing is shared: every mention is evaluated again."""
+    return F.get(F.transform(F.array(_col(value)), body), F.lit(0))
+
+
 def nfkc(text) -> Column:
     text = _col(text)
     doubtful = F.when(text.rlike(_DOUBTFUL), text)
@@ -101,9 +106,12 @@ def drop_junk_sections(text, cut_references: bool = True) -> Column:
         text = F.regexp_replace(text, pattern, "")
     if not cut_references:
         return text
-    start = last_references_start(text)
-    far_enough = start > F.length(text) * config.REFERENCES_MIN_POSITION
-    return F.when(F.coalesce(far_enough, F.lit(False)), F.substr(text, F.lit(1), start)).otherwise(text)
+
+    def cut(t):
+        start = last_references_start(t)
+        far_enough = start > F.length(t) * config.REFERENCES_MIN_POSITION
+        return F.when(F.coalesce(far_enough, F.lit(False)), F.substr(t, F.lit(1), start)).otherwise(t)
+    return bound(text, cut)
 
 
 def isolate_headings(text) -> Column:
@@ -111,13 +119,14 @@ def isolate_headings(text) -> Column:
 
 
 def fix_broken_lines(text) -> Column:
-    joined = F.regexp_replace(_col(text), rf"(?<=[{WORD}])-\n(?=[a-z])", "")
-    return F.regexp_replace(joined, rf"(?<!\n)\n(?!\n)(?!{LIST_MARKER})", " ")
+    # What a match begins with comes first, the look behind after it: the other order looks behind every character.
+    joined = F.regexp_replace(_col(text), rf"-\n(?<=[{WORD}]-\n)(?=[a-z])", "")
+    return F.regexp_replace(joined, rf"\n(?<!\n\n)(?!\n)(?!{LIST_MARKER})", " ")
 
 
 def collapse_whitespace(text) -> Column:
-    text = F.regexp_replace(_col(text), r"[ \t]+", " ")
-    text = F.regexp_replace(text, r" *\n *", "\n")
+    text = F.regexp_replace(_col(text), r"[ \t]{2,}|\t", " ")
+    text = F.regexp_replace(text, r" \n ?|\n ", "\n")        # single blanks are left by now
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return F.btrim(text, F.lit(_EDGE_BLANKS))
 
@@ -157,9 +166,12 @@ def sentences(text) -> Column:
 
 def is_junk(text) -> Column:
     """Mostly symbols or digits once links are gone."""
-    visible = F.regexp_replace(F.regexp_replace(_col(text), URL, ""), r"(?U)\s+", "")
-    letters = F.length(F.regexp_replace(visible, r"[^\p{L}]", ""))
-    return (visible == "") | (letters / F.length(visible) < config.MIN_ALPHA_RATIO)
+    def mostly_symbols(visible):
+        letters = F.length(F.regexp_replace(visible, r"[^\p{L}]+", ""))
+        return (visible == "") | (letters / F.length(visible) < config.MIN_ALPHA_RATIO)
+    text = _col(text)
+    unlinked = F.when(text.contains("http") | text.contains("www."), F.regexp_replace(text, URL, "")).otherwise(text)
+    return bound(F.regexp_replace(unlinked, r"(?U)\s+", ""), mostly_symbols)
 
 
 def heading_text(paragraph) -> Column:
@@ -168,10 +180,18 @@ def heading_text(paragraph) -> Column:
     A plain title has few words, no closing punctuation, and a capital on every word
     that is not a connector; one pattern checks all of it.
     """
-    line = strip(paragraph)
+    return bound(strip(paragraph), title_of)
+
+
+def title_of(line) -> Column:
+    """``heading_text`` of a line without surrounding white space."""
+    # Most evidence is told by its last character; the pattern reads to the end of a line only, and these end one.
+    closed = F.right(line, F.lit(1)).isin(*".!?:;,")
+    for mark in "\r\x85\u2028\u2029":
+        closed = closed & ~line.contains(mark)
     return (F.when(line.contains("\n"), F.lit(None).cast("string"))
-            .when(line.startswith("#"), F.nullif(strip(F.regexp_replace(line, "^#+", "")), F.lit("")))
-            .when(line.rlike(_PLAIN_TITLE), line))
+            .when(line.startswith("#"), bound(strip(F.regexp_replace(line, "^#+", "")), lambda t: F.nullif(t, F.lit(""))))
+            .when(~closed & line.rlike(_PLAIN_TITLE), line))
 
 
 def marked_heading(line) -> Column:

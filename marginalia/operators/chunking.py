@@ -1,13 +1,14 @@
 """Cleaned text to chunks.
 
-A document is one row from start to end: paragraphs, headings, near-duplicate
-removal, packing and overlap are array expressions on that row, so chunking a
-corpus needs no shuffle.  Python is entered only for documents with two or more
-paragraphs or with an over-long one; the rest pass as nulls.
+A document is one row from start to end, so chunking a corpus needs no shuffle.
+Paragraphs and headings are array expressions on that row; near-duplicate removal,
+packing and overlap follow in one Python step.  That step reads one column, once:
+what stands below it in the plan is evaluated again for every other mention.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from difflib import SequenceMatcher
 import math
 import re
@@ -35,27 +36,37 @@ def near_duplicates(texts) -> list[bool]:
     limit = config.DUPLICATE_SIMILARITY
     drop, seen, kept = [], set(), []
     by_length: dict[int, list[int]] = {}
-    counts = np.empty((64, 256), np.int32)
+    lengths: list[int] = []                    # sorted
+    counts, at = np.empty((64, 256), np.int32), {}     # of the kept texts that were compared so far
+
+    def profile(text):
+        return np.bincount(np.frombuffer(text.encode("utf-32-le"), np.uint32) % 256, minlength=256).astype(np.int32)
+
     for text in texts:
         if text in seen:
             drop.append(True)
             continue
         size = len(text)
-        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32) % 256
-        profile = np.bincount(codes, minlength=256).astype(np.int32)
         low, high = math.floor(size * limit / (2 - limit)), math.ceil(size * (2 - limit) / limit)
-        lengths = range(low, high + 1) if high - low < len(by_length) else [n for n in by_length if low <= n <= high]
-        close = np.array([i for n in lengths if 2 * min(n, size) / max(n + size, 1) >= limit for i in by_length.get(n, ())], int)
-        if close.size:
+        near = lengths[bisect_left(lengths, low):bisect_right(lengths, high)]
+        close = [i for n in near if 2 * min(n, size) / max(n + size, 1) >= limit for i in by_length[n]]
+        repeated = False
+        if close:
+            for i in close:
+                if i not in at:
+                    if len(at) == len(counts):
+                        counts = np.concatenate((counts, np.empty_like(counts)))
+                    counts[len(at)] = profile(kept[i])
+                    at[i] = len(at)
             total = np.array([len(kept[i]) for i in close]) + size
-            close = close[2 * np.minimum(counts[close], profile).sum(axis=1) / np.maximum(total, 1) >= limit]
-        repeated = any(SequenceMatcher(None, text, kept[i]).ratio() >= limit for i in close)
+            shared = np.minimum(counts[[at[i] for i in close]], profile(text)).sum(axis=1)
+            alike = np.flatnonzero(2 * shared / np.maximum(total, 1) >= limit)
+            repeated = any(SequenceMatcher(None, text, kept[close[i]]).ratio() >= limit for i in alike)
         drop.append(repeated)
         if not repeated:
             seen.add(text)
-            if len(kept) == len(counts):
-                counts = np.concatenate((counts, np.empty_like(counts)))
-            counts[len(kept)] = profile
+            if size not in by_length:
+                insort(lengths, size)
             by_length.setdefault(size, []).append(len(kept))
             kept.append(text)
     return drop
@@ -116,31 +127,54 @@ def merge_small(pieces: list[tuple], ahead: bool = True) -> list[tuple]:
     return [(section, "\n\n".join(texts)) for section, texts, _ in out]
 
 
-def _folded(paragraphs: pd.Series, initial: pd.Series, ahead: bool) -> pd.Series:
-    """Headings, near-duplicates, cutting and merging for documents that need them."""
+def last_sentence(text: str) -> str:
+    """What follows the last sentence end; the text is searched from its end."""
+    text = text.strip()
+    reach = 500
+    while True:
+        begin = max(0, len(text) - reach)
+        ends = [m.end() for m in _BREAK.finditer(text, begin)]
+        if ends or not begin:
+            return text[ends[-1]:] if ends else text
+        reach *= 8
+
+
+def add_overlap(pieces: list[tuple]) -> list[tuple]:
+    """Prefix the last sentence of the previous piece of the same section, if it fits."""
+    out = pieces[:1]
+    for (before, previous), (section, text) in zip(pieces, pieces[1:]):
+        tail = last_sentence(previous) if before == section else ""
+        fits = tail and len(tail.split()) + len(text.split()) <= config.MAX_CHUNK_WORDS
+        out.append((section, f"{tail} {text}" if fits else text))
+    return out
+
+
+def _folded(units: pd.Series, initial: pd.Series, ahead: bool) -> pd.Series:
+    """Chunks from paragraphs: headings, near-duplicates, cutting, merging and overlap.  A heading stands behind ``#``,
+    any other paragraph behind a blank."""
     def one(units, section):
         if units is None:
             return None
         bodies = []
         for unit in units:
-            if unit["title"] is not None:
-                section = unit["title"]
+            if unit[0] == "#":
+                section = unit[1:]
             else:
-                bodies.append((section, unit["text"]))
-        repeats = near_duplicates(re.sub(r"\W+", " ", t.lower()).strip() for _, t in bodies)
+                bodies.append((section, unit[1:]))
+        repeats = near_duplicates(re.sub(r"\W+", " ", t.lower()).strip() for _, t in bodies) if len(bodies) > 1 else [False]
         pieces = [(s, part) for (s, t), again in zip(bodies, repeats) if not again for part in split_long(t)]
-        return [{"section": s, "text": t} for s, t in merge_small(pieces, ahead)]
-    return pd.Series([one(u, s) for u, s in zip(paragraphs, initial)], dtype=object)
+        return [{"section": s, "text": t} for s, t in add_overlap(merge_small(pieces, ahead))]
+    return pd.Series([one(u, s) for u, s in zip(units, initial)], dtype=object)
 
 
 @F.pandas_udf(PIECES)
-def _fold(paragraphs: pd.Series, initial: pd.Series) -> pd.Series:
-    return _folded(paragraphs, initial, True)
+def _fold(units: pd.Series, initial: pd.Series) -> pd.Series:
+    return _folded(units, initial, True)
 
 
 @F.pandas_udf(PIECES)
-def _fold_tails(paragraphs: pd.Series, initial: pd.Series) -> pd.Series:
-    return _folded(paragraphs, initial, False)
+def _fold_tails(units: pd.Series, initial: pd.Series) -> pd.Series:
+    return _folded(units, initial, False)
 
 
 @F.pandas_udf(T.ArrayType(T.BooleanType()))
@@ -166,18 +200,6 @@ def last_heading(paragraphs: Column) -> Column:
     return F.try_element_at(titles, F.lit(-1))
 
 
-def add_overlap(pieces: Column) -> Column:
-    """Prefix the last sentence of the previous piece of the same section, if it fits."""
-    def extended(p, i):
-        previous = F.get(pieces, i - 1)
-        tail = F.try_element_at(tx.sentences(previous["text"]), F.lit(-1))
-        fits = ((i > 0) & previous["section"].eqNullSafe(p["section"]) & tail.isNotNull()
-                & (tx.word_count(tail) + tx.word_count(p["text"]) <= config.MAX_CHUNK_WORDS))
-        return F.struct(p["section"].alias("section"),
-                        F.when(fits, F.concat(tail, F.lit(" "), p["text"])).otherwise(p["text"]).alias("text"))
-    return F.when(F.size(pieces) > 1, F.transform(pieces, extended)).otherwise(pieces)
-
-
 def chunk_pieces(docs: DataFrame, text: str = "text", section: str | None = None, ahead: bool = True) -> DataFrame:
     """Add ``pieces``: the chunks of every (already cleaned) text, in order.
 
@@ -186,16 +208,8 @@ def chunk_pieces(docs: DataFrame, text: str = "text", section: str | None = None
     fold = _fold if ahead else _fold_tails
     initial = F.col(section) if section else F.lit(None).cast("string")
     kept = F.filter(tx.paragraphs(text), lambda p: ~tx.is_junk(p))
-    tagged = F.transform("_paragraphs", lambda p: F.struct(p.alias("text"), tx.heading_text(p).alias("title")))
-    needs_work = (F.size("_tagged") > 1) | (
-        (F.size("_tagged") == 1) & (tx.word_count(text) > config.MAX_CHUNK_WORDS))
-    alone = F.transform(F.filter("_tagged", lambda p: p["title"].isNull()),
-                        lambda p: F.struct(initial.alias("section"), p["text"].alias("text")))
-    staged = (docs.withColumn("_paragraphs", kept).withColumn("_tagged", tagged)
-              .withColumn("_folded", fold(F.when(needs_work, F.col("_tagged")), initial))
-              .withColumn("_packed", F.coalesce("_folded", alone)))
-    return (staged.withColumn("pieces", add_overlap(F.col("_packed")))
-            .drop("_paragraphs", "_tagged", "_folded", "_packed"))
+    units = F.transform(kept, lambda p: F.coalesce(F.concat(F.lit("#"), tx.title_of(p)), F.concat(F.lit(" "), p)))
+    return docs.withColumn("pieces", fold(units, initial))
 
 
 def chunk_documents(docs: DataFrame, ahead: bool = True) -> DataFrame:

@@ -145,3 +145,15 @@ def test_captions_leave_prose(spark):
         F.lit("intro\nTable 1: a\nmore\nTable 2: b\nTable 3: c"), F.lit(2)).alias("x")).first().x
     assert row.captions == ["Table 1: a", "Table 2: b"]
     assert row.text == "intro\nmore\nTable 3: c"
+
+
+def test_cleaning_is_evaluated_once_when_chunked(spark):
+    """Below lambdas and Python inputs nothing is shared: what is mentioned twice there is computed twice."""
+    docs = spark.createDataFrame([(1, "# A\n\nSome text.")], "doc_id long, text string").select("doc_id", tx.clean_text("text").alias("text"))
+    plan = chunking.chunk_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("all rights reserved") == 1 and plan.count("references|bibliography") == 2
+
+
+def test_last_sentence_is_found_from_the_end():
+    for t in ("One. Two. Three", " Only one ", "Ends here. " + "word " * 3000 + "is long", "x" * 499 + ". Q", "a.  B" + "c" * 497, ""):
+        assert chunking.last_sentence(t) == chunking._BREAK.split(t.strip())[-1]
