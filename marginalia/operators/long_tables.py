@@ -61,19 +61,26 @@ def _pieces_of(words: pd.Series, own: pd.Series, taken: pd.Series) -> pd.Series:
 
 
 def _trimmed(cells: Column) -> Column:
-    return F.transform(cells, lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " ")), F.lit("")))
+    # A single blank is what it is replaced by.
+    return F.transform(cells, lambda c: F.coalesce(F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]{2,}|[\s\x1c-\x1f&&[^ ]]", " ")), F.lit("")))
+
+
+def _words(line: Column) -> Column:
+    """Words of a line made of trimmed cells: blanks are its only white space."""
+    return F.size(F.array_remove(F.split(line, " "), ""))
 
 
 def described(body: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
     """One row per table with body rows: header and places of the columns kept, ``is_numeric``, how rows are written.
 
     A column stays if its header or any body cell is filled; one that only the body fills beyond the header is named by its
-    number.  Cells are counted per table and column by a combining aggregate.
+    number.  Rows are counted per table and pattern of their cells by a combining aggregate; only patterns are spread to cells.
     """
-    filled = F.filter(F.transform("cells", lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"] != "")
-    wordy = ~F.col("x.c").rlike(tables._NUMERIC_CELL)
-    columns = (spread_array(body, keys, filled, "x").groupBy(*keys, F.col("x.i").alias("i"))
-               .agg(F.count("*").alias("n"), F.sum(wordy.cast("long")).alias("wordy"))
+    pattern = F.array_join(F.transform("cells", lambda c: F.when(c == "", "0").when(c.rlike(tables._NUMERIC_CELL), "1").otherwise("2")), "")
+    counted = body.groupBy(*keys, pattern.alias("pattern")).agg(F.count("*").alias("times"))
+    filled = F.filter(F.transform(F.split("pattern", "(?!\\z)"), lambda c, i: F.struct(i.alias("i"), c.alias("c"))), lambda x: x["c"] != "0")
+    columns = (spread_array(counted, [*keys, "times"], filled, "x").groupBy(*keys, F.col("x.i").alias("i"))
+               .agg(F.sum("times").alias("n"), F.sum(F.when(F.col("x.c") == "2", F.col("times")).otherwise(0)).alias("wordy"))
                .groupBy(*keys).agg(F.collect_set("i").alias("_filled"), F.sum("n").alias("n"), F.sum("wordy").alias("wordy")))
     last = F.coalesce(F.array_max(F.transform("header", lambda h, i: F.when(h != "", i + 1))), F.lit(0))
     both = (headers.withColumn("header", _trimmed(F.coalesce("header", F.array().cast("array<string>")))).join(columns, keys)
@@ -97,15 +104,16 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """
     placed = cut_lineage(rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)).withColumn("_id", F.monotonically_increasing_id())
     task, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = dict(placed.groupBy(task.alias("task")).count().collect())
+    heads = cut_lineage(placed.groupBy(task.alias("_task"), *keys).agg(F.count("*").alias("_n"), F.min(within).alias("_least")))
+    counts = dict(heads.groupBy("_task").agg(F.sum("_n")).collect())
     starts, total = [], 0
     for t in sorted(counts):
         starts.append((t, total))
         total += counts[t]
-    offsets = rows.sparkSession.createDataFrame(starts, "_task long, _start long")
-    at = placed.withColumn("_task", task).join(F.broadcast(offsets), "_task").withColumn("_rn", F.col("_start") + within).drop("_task", "_start", "_id")
-    first = at.groupBy(*keys).agg(F.min("_rn").alias("_first"))
-    return at.join(broadcast_if_small(first, 64), keys).withColumn("_rn", F.col("_rn") - F.col("_first")).drop("_first")
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_task long, _start long"))
+    first = heads.join(offsets, "_task").groupBy(*keys).agg(F.min(F.col("_start") + F.col("_least")).alias("_first"))
+    return (placed.withColumn("_task", task).join(offsets, "_task").join(broadcast_if_small(first, 64), keys)
+            .withColumn("_rn", F.col("_start") + within - F.col("_first")).drop("_task", "_start", "_id", "_first"))
 
 
 def composed(maps: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,13 +147,17 @@ def long_table_pieces(body: DataFrame, headers: DataFrame, keys, order, segment_
     clean = rows.select(*keys, "_rn", _trimmed(F.col("cells")).alias("cells"))
     about = cut_lineage(described(clean, headers.select(*keys, "header", "caption"), keys))
     known = broadcast_if_small(about.select(*keys, "_header", "_places", "_talks"), 1024)
-    cells = F.transform("_places", lambda i: F.coalesce(F.get("cells", i), F.lit("")))
+    def written(cells):
+        row = F.transform("_places", lambda i: F.coalesce(F.get(cells, i), F.lit("")))
+        return tx.bound(row, lambda r: F.when(F.col("_talks"), tables.row_sentence(F.col("_header"), r)).otherwise(tables.markdown_row(r)))
+
     # A row with a filled cell has one in a column that stays, so no line is empty and the numbers have no gaps.
-    lines = (clean.join(known, keys).withColumn("_row", cells)
-             .withColumn("line", F.when(F.col("_talks"), tables.row_sentence(F.col("_header"), F.col("_row"))).otherwise(tables.markdown_row(F.col("_row")))))
+    # What a lambda mentions is evaluated for each element, so cells, row and line are bound before.
+    lines = rows.join(known, keys).select(*keys, "_rn", tx.bound(_trimmed(F.col("cells")), lambda cells: tx.bound(
+        written(cells), lambda line: F.struct("_rn", _words(line).alias("words"), line.alias("line")))).alias("r"))
     seg, at = F.expr(f"_rn div {segment_rows}"), F.col("_rn") % segment_rows
     seen_by = F.when((at < _REACH) & (seg > 0), F.array(seg, seg - 1)).otherwise(F.array(seg))
-    dealt = spread_array(lines, [*keys, F.struct("_rn", tx.word_count("line").alias("words"), "line").alias("r"), seg.alias("_of")], seen_by, "seg")
+    dealt = spread_array(lines, [*keys, "r", seg.alias("_of")], seen_by, "seg")
     segments = (dealt.groupBy(*keys, "seg").agg(F.array_sort(F.collect_list("r")).alias("rows"), F.sum((F.col("_of") == F.col("seg")).cast("int")).cast("int").alias("own"))
                 .withColumn("words", F.transform("rows", lambda r: r["words"])))
     segments = cut_lineage(segments.withColumn("map", _map_of("words", "own")))

@@ -80,19 +80,14 @@ def use_sentences(header: Column) -> Column:
 
 def row_sentence(header: Column, row: Column) -> Column:
     """"H v: h is v, h is v." ; empty text when the row says nothing."""
-    pairs = F.filter(F.zip_with(header, row, lambda h, v: F.struct(h.alias("h"), v.alias("v"))),
-                     lambda p: F.coalesce(p["v"], F.lit("")) != "")
     first = F.get(row, F.lit(0))
-    rest = F.transform(F.filter(F.zip_with(
-        F.slice(header, F.lit(2), F.size(header)), F.slice(row, F.lit(2), F.size(row)),
-        lambda h, v: F.struct(h.alias("h"), v.alias("v"))), lambda p: F.coalesce(p["v"], F.lit("")) != ""),
-        lambda p: F.concat(p["h"], F.lit(" is "), p["v"]))
-    listed = F.array_join(rest, ", ")
+    says = F.zip_with(header, row, lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(h, F.lit(" is "), v)))
     head = F.concat(F.get(header, F.lit(0)), F.lit(" "), first)
-    return (F.when(F.size(pairs) == 0, F.lit(""))
-            .when((first != "") & (listed != ""), F.concat(head, F.lit(": "), listed, F.lit(".")))
-            .when(first != "", F.concat(head, F.lit(".")))
-            .otherwise(F.concat(listed, F.lit("."))))
+    return tx.bound(F.array_join(F.slice(says, F.lit(2), F.lit(1 << 30)), ", "), lambda listed: (
+        F.when(~F.exists(row, lambda v: F.coalesce(v, F.lit("")) != ""), F.lit(""))
+        .when((first != "") & (listed != ""), F.concat(head, F.lit(": "), listed, F.lit(".")))
+        .when(first != "", F.concat(head, F.lit(".")))
+        .otherwise(F.concat(listed, F.lit(".")))))
 
 
 def markdown_row(cells: Column) -> Column:

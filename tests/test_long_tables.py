@@ -59,3 +59,16 @@ def test_one_table_with_most_rows_is_dealt_to_all_tasks(spark):
         assert tasks.groupBy("task").count().agg(F.max("count")).first()[0] < 1800
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_cells_are_trimmed_wherever_the_blank_is(spark):
+    rows = [["a b", None, "c|d"], [" a", "b"], ["a", "b "], ["a  b", ""], ["a|", " |b"], ["a b", "c\x1fd"], ["", " "], []]
+    got = [r.c for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, c array<string>").select("i", long_tables._trimmed(F.col("c")).alias("c")).orderBy("i").collect()]
+    assert got == [[" ".join((c or "").split()) for c in r] for r in rows]
+
+
+def test_a_piece_is_counted_by_patterns_of_cells(spark):
+    rows = spark.createDataFrame([(1, ["x", "1"])] * 5 + [(1, ["", "2", "3"])], "k int, cells array<string>")
+    heads = spark.createDataFrame([(1, ["A", "B"], "t")], "k int, header array<string>, caption string")
+    plan = long_tables.described(rows, heads, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "pattern" in plan and [r["_header"] for r in long_tables.described(rows, heads, ["k"]).collect()] == [["A", "B", "column 3"]]
