@@ -3,12 +3,14 @@
 import collections
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 
 from marginalia.llm import common, decontaminate, odd_minhash, passages
 from marginalia.llm.queries import QUERIES
+from marginalia.session import cut_lineage, release
 from tests.compare import database, difference
 from tests.conftest import DATA
 
@@ -256,6 +258,32 @@ def test_passage_at_two_places_of_one_document(spark):
     assert covered == {2: set(range(100, 160)) | set(range(250, 310))}
 
 
+def test_members_keep_bits_of_what_is_open(spark):
+    """A member holds a bit, not a number, for each open position, and spans take bits away wherever they begin and end."""
+    bits = lambda *at: np.packbits(np.isin(np.arange(140), at)).tobytes()
+    one = lambda doc, left: (7, doc, 1, bool(left), left, 0, 1000, 1005, 1120, 1, 1010, 1015, 1139, 1)
+    made = [one(1, bits(3)), one(2, bits(0, 60, 139)), one(3, bits(0, 60, 139)), one(4, bits(5)), one(5, b"")]
+    members = spark.createDataFrame(made, passages.MEMBER + ", least long")
+    found = spark.createDataFrame([(2, 990, 1070, 1, 0, 80, 1.0), (2, 1100, 1200, 1, 0, 100, 1.0), (3, 990, 1070, 1, 0, 80, 1.0), (5, 0, 2000, 1, 0, 9, 1.0)], passages.FOUND)
+    left = {r.doc: (r.open, bytes(r.left)) for r in passages.still_open(members, found, passages.Settings()).collect()}
+    assert left == {2: (False, b""), 3: (True, bits(139)), 4: (True, bits(5)), 5: (False, b"")}
+
+
+def test_release_gives_back_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    release(spark)
+    time.sleep(1)
+    before = files().size()
+    cut_lineage(spark.range(10000).repartition(8, "id").groupBy("id").count()).count()
+    assert files().size() > before
+    for _ in range(50):
+        release(spark)
+        if files().size() <= before:
+            break
+        time.sleep(0.2)
+    assert files().size() <= before
+
+
 def test_passages_by_brute_force(spark, monkeypatch):
     """Every run of fifty words that stands in an earlier document is covered, however tasks and flushes cut the corpus."""
     monkeypatch.setattr(passages, "FLUSH_WINDOWS", 60)
