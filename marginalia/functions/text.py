@@ -42,7 +42,8 @@ TABLE_RULE = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$"
 # --- end of fixed values -----------------------------------------------------
 
 _CONNECTOR = "(?i:" + "|".join(config.HEADING_CONNECTORS) + r")(?!\S)"
-_PLAIN_TITLE = (rf"(?U)\A(?!(?:{_CONNECTOR}\s*)+\z)(?!.*[.!?:;,]\z)"
+# ``++`` is a loop in the Java engine, where ``+`` over a group takes stack for every connector; there is one way to match.
+_PLAIN_TITLE = (rf"(?U)\A(?!(?:{_CONNECTOR}\s*)++\z)(?!.*[.!?:;,]\z)"
                 rf"(?:(?:{_CONNECTOR}|\p{{Lu}}\S*)(?:\s+|\z)){{1,{config.HEADING_MAX_WORDS}}}\z")
 
 #: Characters that compatibility normalisation may change, alone or in sequence.  Written

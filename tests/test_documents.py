@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.operators import chunking, cleaning, tables
+from marginalia.plans import document_queries
 
 
 def chunks(spark, *texts):
@@ -157,3 +158,17 @@ def test_cleaning_is_evaluated_once_when_chunked(spark):
 def test_last_sentence_is_found_from_the_end():
     for t in ("One. Two. Three", " Only one ", "Ends here. " + "word " * 3000 + "is long", "x" * 499 + ". Q", "a.  B" + "c" * 497, ""):
         assert chunking.last_sentence(t) == chunking._BREAK.split(t.strip())[-1]
+
+
+@pytest.fixture(scope="module")
+def of_connectors(spark, tmp_path_factory):
+    """A folder of documents, one of 30 000 words that headings have in lower case: one level of stack for each was too many."""
+    folder = tmp_path_factory.mktemp("connectors")
+    rows = [(1, "One plain sentence stands here."), (2, " ".join(["the of and"] * 10_000)), (3, "The Order of the Day"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_cleaned_chunks_of_a_long_run_of_connectors(spark, of_connectors):
+    got = {r.doc_id: (r.n_chunks, r.n_words) for r in document_queries.chunk_cleaned_documents(spark, of_connectors).collect()}
+    assert got == {1: (1, 5), 2: (50, 30_000)}
