@@ -172,3 +172,8 @@ def of_connectors(spark, tmp_path_factory):
 def test_cleaned_chunks_of_a_long_run_of_connectors(spark, of_connectors):
     got = {r.doc_id: (r.n_chunks, r.n_words) for r in document_queries.chunk_cleaned_documents(spark, of_connectors).collect()}
     assert got == {1: (1, 5), 2: (50, 30_000)}
+
+
+def test_chunks_of_a_long_run_of_connectors(spark, of_connectors):
+    rows = document_queries.chunk_documents(spark, of_connectors).collect()
+    assert sorted((r.doc_id, r.chunk_index, r.n_words) for r in rows) == [(1, 0, 5), *((2, i, 600) for i in range(50))]
