@@ -177,3 +177,8 @@ def test_cleaned_chunks_of_a_long_run_of_connectors(spark, of_connectors):
 def test_chunks_of_a_long_run_of_connectors(spark, of_connectors):
     rows = document_queries.chunk_documents(spark, of_connectors).collect()
     assert sorted((r.doc_id, r.chunk_index, r.n_words) for r in rows) == [(1, 0, 5), *((2, i, 600) for i in range(50))]
+
+
+def test_hard_slices_of_a_long_run_of_connectors(spark, of_connectors):
+    rows = document_queries.chunk_hard_slices(spark, of_connectors).collect()
+    assert sorted((r.doc_id, r.chunk_index, r.n_words) for r in rows) == [(1, 0, 5), *((2, i, 600) for i in range(50)), (3, 0, 5)]
