@@ -182,3 +182,14 @@ def test_chunks_of_a_long_run_of_connectors(spark, of_connectors):
 def test_hard_slices_of_a_long_run_of_connectors(spark, of_connectors):
     rows = document_queries.chunk_hard_slices(spark, of_connectors).collect()
     assert sorted((r.doc_id, r.chunk_index, r.n_words) for r in rows) == [(1, 0, 5), *((2, i, 600) for i in range(50)), (3, 0, 5)]
+
+
+def test_sections_of_a_long_run_of_connectors(spark, of_connectors):
+    rows = document_queries.heading_sections(spark, of_connectors).collect()
+    assert sorted((r.doc_id, r.section, r.n_paragraphs) for r in rows) == [(1, "Part 0", 1), (2, "Part 0", 1)]
+
+
+def test_titles_around_connectors(evaluate):
+    many = " ".join(["a"] * 30_000)
+    assert evaluate(tx.heading_text("x"), many, many + " Title", "of the", "Of\u00a0The Day", "the of And The", "In to Town ", "an \tA") == [
+        None, None, None, "Of\u00a0The Day", None, "In to Town", None]
